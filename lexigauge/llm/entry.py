@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, packing, prefix_hash, quality, quotation, sentencepiece_bpe, simhash, toxicity
+from . import embedding_dedup, html_extract, packing, prefix_hash, quality, quotation, sentencepiece_bpe, simhash, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.edits(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_packing": op6_packing,
         "op7_fingerprints": op7_fingerprints,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_html_text": op10_html_text,
     }

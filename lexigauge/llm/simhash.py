@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components, small_batches, table, text_of
 
@@ -56,18 +57,18 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp) with fp as a signed long; row is a number that tells rows of one id apart, 0 if none is given."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.lit(0) if row is None else row).cast("long").alias("row"), text_of(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "row", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, row long, fp long")
 
 
 def forest(fps: np.ndarray) -> tuple[list[int], list[int]]:
@@ -199,13 +200,31 @@ def link_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from groups(key, fp)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest id that links reach."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
+def classes(scratch: Scratch, fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint: a fingerprint that stands for its component, and the component's smallest id."""
     distinct = scratch.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     root = components(scratch, links(scratch, distinct.select("fp"), crowded))
     rooted = scratch.cut(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    classes = scratch.cut(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return scratch.cut(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, crowded: int = CROWDED) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: the smallest id that links reach."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    return fps.join(classes(scratch, fps, crowded), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, crowded: int = CROWDED) -> DataFrame:
+    """The rows of docs, whole and with their columns, one for each component: of its smallest id, and of that id's rows the one with the least hash of all columns."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)])
+    fps = scratch.cut(fingerprints(docs, id_col, text_col, words, row), "fingerprints")
+    best = fps.join(classes(scratch, fps, crowded).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"))
+    best = scratch.cut(best.select(F.col("b.doc_id").alias("best_id"), F.col("b.row").alias("best_row")), "best")
+    marked = docs.withColumn("best_row_of", row)
+    found = marked.join(best, (F.col("best_row_of") == F.col("best_row")) & F.col(f"`{id_col}`").eqNullSafe(F.col("best_id")), "left_semi")
+    # rows that are equal in every column are still one row
+    number = F.row_number().over(Window.partitionBy("best_row_of", F.col(f"`{id_col}`")).orderBy(F.lit(0)))
+    return found.withColumn("best_number", number).filter("best_number = 1").drop("best_row_of", "best_number")
