@@ -19,7 +19,7 @@ def build(samples: DataFrame, scores: DataFrame, judgments: DataFrame, votes: Da
     rows = written(report.metric_rows(scores, judged))
     verdict = written(verdicts(judged))
     voted = human.on_pairs(votes, pairs)
-    people = human.tallies(voted).join(pairs.select(F.col("id").alias("pairId"), "scheme", F.col("aSampleId").alias("a"), F.col("bSampleId").alias("b")), "pairId").select("scheme", "a", "b", "verdict")
+    people = human.tallies(voted).select("pairId", "verdict").join(pairs.select(F.col("id").alias("pairId"), "scheme", F.col("aSampleId").alias("a"), F.col("bSampleId").alias("b")), "pairId").select("scheme", "a", "b", "verdict")
 
     def collected(df: DataFrame, *key: str) -> dict[tuple, dict]:
         return {tuple(r[k] for k in key): r.asDict() for r in df.collect()}  # a row for each model, intervention and metric
