@@ -32,7 +32,7 @@ from .common import small_batches, text_of
 
 SPACE = "▁"
 #: Entries of the table of parts and of the table of pairs; either is emptied when it is full.
-KEPT = 300_000
+KEPT = 800_000
 
 
 def load(model: bytes) -> dict:
@@ -85,12 +85,12 @@ class Codec:
         return symbols
 
     def may_follow(self, a: str, b: str) -> bool:
-        """Whether the tokens a and b stay as they are side by side."""
+        """Whether b is a token of its own and a and b stay as they are side by side."""
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) >= self.kept:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            found = self.pairs[a, b] = self.stands(b) and self.merged(a + b) == [a, b]
         return found
 
     def stands(self, a: str) -> bool:
@@ -103,35 +103,30 @@ class Codec:
     def last_tokens(self, text: str) -> list[int]:
         """The prefix table: the length of the last token of each prefix."""
         last = [0] * (len(text) + 1)
-        ends: list[list[int]] = [[] for _ in range(len(text))]
+        pairs, stands, may = self.pairs, self.stands, self.may_follow
         for end, n in self.automaton.iter(text):
-            ends[end].append(n)
-        may, pairs = self.may_follow, self.pairs
-        for i, sizes in enumerate(ends, 1):
-            if 1 not in sizes:
-                sizes.append(1)
-            for n in sizes:
-                j = i - n
-                t = text[j:i]
-                if j == 0:
-                    ok = self.stands(t)
-                else:
-                    p = text[j - last[j] : j]
-                    ok = pairs.get((p, t))
-                    if ok is None:
-                        ok = self.stands(t) and may(p, t)
-                if ok:
-                    last[i] = n
-                    break
+            i = end + 1
+            if last[i]:
+                continue
+            j = i - n
+            t = text[j:i]
+            if j:
+                p = text[j - (last[j] or 1) : j]  # no token of the vocabulary ends there: a character outside it
+                ok = pairs.get((p, t))
+                if ok is None:
+                    ok = may(p, t)
             else:
-                raise ValueError(f"no last token at {i} of {text!r}")
+                ok = stands(t)
+            if ok:
+                last[i] = n
         return last
 
     def part_ids(self, part: str) -> tuple[int, ...]:
         last, i, tokens = self.last_tokens(part), len(part), []
         while i:
-            tokens.append(part[i - last[i] : i])
-            i -= last[i]
+            n = last[i] or 1
+            tokens.append(part[i - n : i])
+            i -= n
         out: list[int] = []
         for t in reversed(tokens):
             n = self.ids.get(t)
