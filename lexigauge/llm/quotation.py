@@ -20,7 +20,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -65,9 +65,18 @@ def links(scratch: Scratch, said: DataFrame) -> DataFrame:
     # only conversations with a passage are searched
     searched = said.join(passages.select(F.col("conv_id").alias("c")).distinct(), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     units = searched.select("conv_id", "turn", F.explode(parts).alias("s")).filter("s <> ''").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.md5(F.encode("s", "utf-8")).alias("u")).distinct()
-    # a passage that thousands of turns say needs the latest before it, one row for each passage: the pairs of a hash are summed up as they are joined
-    found = passages.join(units, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("u")) & (F.col("t") < F.col("turn")))
-    found = found.groupBy("conv_id", "turn", "d", "h").agg(F.max("t").alias("t"))
+    # the latest turn before a passage that says the same, without pairing what a conversation says and quotes again and
+    # again: inside blocks of turns by a running maximum, and from the blocks before by their maxima
+    block = lambda c: F.floor(F.col(c) / SEGMENT)
+    said_at = units.select(F.col("c").alias("conv_id"), F.col("u").alias("h"), F.col("t").alias("turn"), F.lit(None).cast("int").alias("d"), F.col("t").alias("unit"))
+    both = passages.select("conv_id", "h", "turn", "d", F.lit(None).cast("long").alias("unit")).unionByName(said_at).filter("turn is not null").withColumn("block", block("turn"))
+    inside = Window.partitionBy("conv_id", "h", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.max("unit").over(inside)).filter("d is not null")
+    blocks = both.groupBy("conv_id", "h", "block").agg(F.max("unit").alias("last"))
+    earlier = Window.partitionBy("conv_id", "h").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    far = blocks.select(F.col("conv_id").alias("c"), F.col("h").alias("u"), F.col("block").alias("b"), F.max("last").over(earlier).alias("far"))
+    found = near.join(far, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("u")) & (F.col("block") == F.col("b")))
+    found = found.select("conv_id", "turn", "d", "h", F.coalesce("near", "far").alias("t")).filter("t is not null")
     best = found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("d")).alias("d"), F.col("t").alias("t"))).alias("b"), F.count("*").alias("n_linked"))
     return scratch.cut(best.select("conv_id", "turn", F.col("b.t").alias("reply_to"), "n_linked"), "links")
 
