@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes(scratch, fps, crowded), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, crowded: int = CROWDED) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, crowded: int = CROWDED) -> DataFrame:
     """The rows of docs, whole and with their columns, one for each component: of its smallest id, and of that id's rows the one with the least hash of all columns."""
     scratch = Scratch(docs.sparkSession, "simhash")
     row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)])

@@ -30,7 +30,7 @@ from .common import held_out, small_batches, text_of, training_rows
 WINDOW, STRIDE = 48, 36
 SAMPLE = 3000
 TRAIN_WINDOWS = 60
-VOCABULARY = 8000
+VOCABULARY = 30_000
 GRAMS = 8192
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 8, 8, 8
 #: Share of words that a training step shows by their characters alone, and of windows of one repeated word.

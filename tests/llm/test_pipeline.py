@@ -43,7 +43,7 @@ def test_against_plain(spark, folder):
     docs = [r for r, s in zip(docs, good) if s >= 0.3]
     bad = toxicity.Scorer(toxicity.train(frame(docs), labels)).scores([r["text"] or "" for r in docs])
     docs = [r for r, s in zip(docs, bad) if s < 0.5]
-    fps = [simhash.fingerprint(r["text"] or "", 5) for r in docs]
+    fps = [simhash.fingerprint(r["text"] or "") for r in docs]
     label = list(range(len(docs)))
     for _ in docs:
         new = [min(label[j] for j in range(len(docs)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(docs))]
