@@ -91,7 +91,7 @@ class Queue:
 
 
 class Sorter:
-    """A priority queue on disk: pairs (key, value) go in in any order and come out by key, equal keys as they went in."""
+    """A priority queue on disk: pairs (key, value) go in in any order and come out by key, equal keys in one piece."""
 
     def __init__(self, disk: Disk):
         self.disk, self.parts, self.size, self.runs = disk, [], 0, []
@@ -104,7 +104,7 @@ class Sorter:
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
         key, value = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         return key[order], value[order]
 
     def spill(self) -> None:
@@ -136,7 +136,7 @@ class Sorter:
                 value.append(np.asarray(v[at[i] : end]))
                 at[i] = end
             key, value = np.concatenate(key), np.concatenate(value)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             yield key[order], value[order]
 
 
@@ -209,33 +209,43 @@ def sort_stars(padded: np.ndarray, stars: np.ndarray, limit: int, disk: Disk) ->
         many = np.isin(group, going)
         values, count = np.unique(group[many], return_counts=True)
         active = active[np.isin(group, values[count > 1])]
-    # doubling: a name covers twice as many S* substrings each time, of two characters at least each
+    # doubling: a name covers twice as many S* substrings each time, of two characters at least each; what is alone with its name has its place
     covered = 1
-    rank = name
-    while True:
-        key = np.empty(m, np.uint64)
-        after = np.append(rank[covered:] + 1, np.zeros(min(covered, m), np.int64))[:m]
-        key[:] = rank.astype(np.uint64) * np.uint64(m + 2) + after.astype(np.uint64)
+    rank = name if m <= 4 * disk.memory else disk.array(m, np.int64)
+    rank[:] = name
+    active = np.flatnonzero(np.bincount(rank, minlength=m)[rank] > 1)
+    while len(active) and 2 * covered < limit:
         sorter = Sorter(disk)
-        for i in range(0, m, disk.memory):
-            sorter.push(key[i : i + disk.memory], np.arange(i, min(i + disk.memory, m)))
-        order = disk.array(m, np.int64)
-        fresh_rank = disk.array(m, np.int64)
-        at, last, ties = 0, None, False
-        for k, v in sorter.pop():
-            fresh = np.concatenate(([last is None or k[0] != last], k[1:] != k[:-1]))
-            ties |= not fresh.all()
-            place = np.maximum.accumulate(np.where(fresh, np.arange(at, at + len(k)), -1))
-            if place[0] < 0:
-                place[place < 0] = number
-            fresh_rank[v] = place
-            order[at : at + len(v)] = v
-            at += len(k)
-            last, number = k[-1], place[-1]
-        rank = fresh_rank
+        for i in range(0, len(active), disk.memory):
+            some = active[i : i + disk.memory]
+            after = np.where(some + covered < m, rank[np.minimum(some + covered, m - 1)] + 1, 0)
+            sorter.push(rank[some].astype(np.uint64) * np.uint64(m + 2) + after.astype(np.uint64), some)
+        tied, changed, at, last, base = [], [], 0, -1, 0
+        for key, some in sorter.pop():  # equal keys come in one piece
+            old = (key // np.uint64(m + 2)).astype(np.int64)
+            here = np.arange(at, at + len(key))
+            fresh = np.concatenate(([True], key[1:] != key[:-1]))
+            begin = np.concatenate(([old[0] != last], old[1:] != old[:-1]))
+            place = np.maximum.accumulate(np.where(fresh, here, 0))
+            start = np.maximum.accumulate(np.where(begin, here, base))
+            changed.append((some, old + place - start))
+            again = np.append(~fresh[1:], False) | ~fresh
+            tied.append(some[again])
+            at += len(key)
+            last, base = old[-1], start[-1]
+        for some, new in changed:
+            rank[some] = new
+        active = np.sort(np.concatenate(tied))
         covered *= 2
-        if not ties or 2 * covered >= limit:
-            return stars[order]
+    sorter = Sorter(disk)
+    for i in range(0, m, disk.memory):
+        sorter.push(np.asarray(rank[i : i + disk.memory]), np.arange(i, min(i + disk.memory, m)))
+    order = disk.array(m, np.int64)
+    at = 0
+    for _, some in sorter.pop():
+        order[at : at + len(some)] = stars[some]
+        at += len(some)
+    return order
 
 
 def common(padded: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:

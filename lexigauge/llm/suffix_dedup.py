@@ -163,9 +163,10 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
                 )
 
     rows = scratch.cut(texts.select("tk", "copies", "text").mapInArrow(cut_pieces, "tk binary, copies long, gram long, body long, start int, number int"), "pieces")
-    grams = rows.groupBy("gram").agg(F.sum("copies").alias("n"), (F.min("body") != F.max("body")).alias("mixed")).filter("n > 1").select("gram", "mixed")
+    # written first: then the join deals both sides anew, and a gram that a third of the pieces have can be split
+    grams = scratch.cut(rows.groupBy("gram").agg(F.sum("copies").alias("n"), (F.min("body") != F.max("body")).alias("mixed")).filter("n > 1").select("gram", "mixed"), "grams")
     looked_at = scratch.cut(rows.join(grams, "gram"), "looked_at")
-    scratch.drop(rows)
+    scratch.drop(rows, grams)
     # pieces with equal bytes are one; where all pieces of a gram are alike there is nothing to sort
     mixed = looked_at.filter("mixed")
     kinds = scratch.cut(mixed.groupBy("gram", "body").agg(F.sum("copies").alias("n"), F.min(F.struct("tk", "start", "number")).alias("one")), "kinds")
