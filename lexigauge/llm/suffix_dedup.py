@@ -35,7 +35,7 @@ from .induced_sort import Disk, repeats
 LENGTH = 200
 GRAM = 16
 #: Bytes of distinct pieces that are sorted at once; a gram's pieces are never divided.
-SHARD = 6 << 20
+SHARD = 2 << 20
 POSITION_BITS = 24
 
 

@@ -372,16 +372,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     return fit([[w.split(" ") if w else [] for w in r.windows] for r in rows], y)
 
 
-_scorers: dict[int, Scorer | Constant] = {}
-
-
-def scorer(shared) -> Scorer | Constant:
-    """One scorer for each model in a worker process."""
-    key = id(shared.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Constant(shared.value) if isinstance(shared.value, float) else Scorer(shared.value)
-    return _scorers[key]
+def scorer(model: Network | float) -> Scorer | Constant:
+    """A scorer of a task: what it keeps of words goes when the task ends."""
+    return Constant(model) if isinstance(model, float) else Scorer(model)
 
 
 def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -391,9 +384,10 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scorer(shared.value)
         for b in batches:
             if b.num_rows:
-                s = scorer(shared).scores(b.column(1).to_pylist())
+                s = own.scores(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.astype(np.float64))], names=["doc_id", "score"])
 
     scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -406,9 +400,10 @@ def keep(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = scorer(shared.value)
         for b in batches:
             if b.num_rows:
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                yield b.filter(pa.array(scorer(shared).scores([t or "" for t in texts]) < threshold))
+                yield b.filter(pa.array(own.scores([t or "" for t in texts]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
