@@ -369,7 +369,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     y = np.array([r.y for r in rows], np.float32)
     if len(y) == 0 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    return fit([[w.split(" ") if w else [] for w in r.windows] for r in rows], y)
+    once: dict[str, str] = {}  # each word is held once
+    texts = [[[once.setdefault(x, x) for x in w.split(" ")] if w else [] for w in r.windows] for r in rows]
+    del rows
+    return fit(texts, y)
 
 
 def scorer(model: Network | float) -> Scorer | Constant:
