@@ -33,6 +33,7 @@ from .common import Scratch, small_batches, text_of
 
 LEAST = 5
 SHARE = 0.2
+PARTS = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -232,9 +233,11 @@ def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Dat
 
     scratch = Scratch(pages.sparkSession, "templates")
     seen = scratch.cut(rows.mapInArrow(run, "host string, page long, found array<long>").groupBy("host", "page").agg(F.first("found").alias("found")), "subtrees")
-    many = seen.groupBy("host").agg(F.count("*").alias("pages"))
+    # a host's subtrees meet its number of pages in PARTS tasks
+    many = seen.groupBy("host").agg(F.count("*").alias("pages")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     counted = seen.select("host", F.explode("found").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return scratch.cut(counted.join(many, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("template")), "template")
+    counted = counted.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
+    return scratch.cut(counted.join(many, ["host", "part"]).filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("template")), "template")
 
 
 def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
