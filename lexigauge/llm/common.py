@@ -45,14 +45,15 @@ class Scratch:
         """Writes df and reads it back."""
         path = self.path(label)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._path = path
+        return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables that cut() made and nothing reads any more, and lets Spark free the shuffle files of what wrote them."""
         for df in frames:
-            for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                if "/lexigauge/" in root:
-                    self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(root), True)
+            if path := vars(df).get("_path"):
+                self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
         self.free()
 
     def free(self) -> None:

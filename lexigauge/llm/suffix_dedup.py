@@ -8,7 +8,10 @@ Each string of LENGTH bytes has a leading gram, the one of its GRAM-byte grams w
 ones. Neighbouring strings with the same gram are one piece. Equal strings have equal grams, so pieces are dealt to
 shards by the gram. Only grams that come at least twice need a look, and pieces with equal bytes count as one: what is
 alike as a whole needs no sorting, and a piece that copies have by the thousand is sorted once. What the suffixes of a
-shard tell about a piece then holds for each of its places.
+shard tell about a piece then holds for each of its places. Where more than CROWDED different pieces share a gram, they
+are texts of another round, cut by the leading grams of another order: what differs at one end of the strings then falls
+to other shards, and what is common to all becomes one piece. LEVELS rounds are made at most; a gram that is crowded
+after the last is sorted in one shard, on disk.
 
 Distinct texts are worked on once, in a table bucketed by the text's hash, so that texts move once.
 
@@ -36,11 +39,12 @@ LENGTH = 200
 GRAM = 16
 #: Bytes of distinct pieces that are sorted at once; a gram's pieces are never divided.
 SHARD = 2 << 20
+CROWDED, LEVELS = 5000, 4
 POSITION_BITS = 24
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each position."""
+def gram_hashes(data: np.ndarray, level: int = 0) -> np.ndarray:
+    """A hash of the GRAM bytes from each position, of another order on each level."""
     raw = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.ndarray((len(data),), "<u8", raw, strides=(1,))
     h = word[: len(data) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
@@ -49,6 +53,9 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
+    for _ in range(level):
+        h ^= h >> np.uint64(30)
+        h *= np.uint64(0xD6E8FEB86659FD93)
     return h
 
 
@@ -64,7 +71,7 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def pieces(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, start, number of strings) of the pieces of a text; piece k has the strings that start at start ... start + number - 1."""
     n = len(data) - length + 1
     if n <= 0:
@@ -73,7 +80,7 @@ def pieces(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     step = (1 << POSITION_BITS) - length  # positions fit below the hash
     for a in range(0, n, step):
         part = data[a : min(a + step, n) + length - 1]
-        h = gram_hashes(part)
+        h = gram_hashes(part, level)
         # equal hashes: the leftmost is least
         packed = h & ~np.uint64((1 << POSITION_BITS) - 1) | np.arange(len(h), dtype=np.uint64)
         best = window_minima(packed, length - GRAM + 1)
@@ -138,16 +145,23 @@ def text_key(column: str = "text"):
     return F.unhex(F.substring(F.sha2(F.col(column).cast("binary"), 256), 1, 32))
 
 
-def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """(tk, spans): where each distinct text has strings that begin elsewhere too, as [a, b) in bytes."""
+FOUND = "array<struct<a:int,b:int>>"
+
+
+def as_bytes(t: str | bytes) -> bytes:
+    return t if isinstance(t, bytes) else t.encode("utf-8", "replace")
+
+
+def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED, level: int = 0) -> DataFrame:
+    """(tk, spans): where each distinct text of (tk, copies, text) has strings that begin elsewhere too, as [a, b) in bytes."""
 
     def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for b in batches:
             keys, copies, gram, body, start, number = [], [], [], [], [], []
             for tk, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                t = t.encode("utf-8", "replace")
-                h, a, k = pieces(np.frombuffer(t, np.uint8), length)
+                t = as_bytes(t)
+                h, a, k = pieces(np.frombuffer(t, np.uint8), length, level)
                 if not len(h):
                     continue
                 gram.append(h)
@@ -170,20 +184,27 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
     # pieces with equal bytes are one; where all pieces of a gram are alike there is nothing to sort
     mixed = looked_at.filter("mixed")
     kinds = scratch.cut(mixed.groupBy("gram", "body").agg(F.sum("copies").alias("n"), F.min(F.struct("tk", "start", "number")).alias("one")), "kinds")
-    wanted = kinds.groupBy("one.tk").agg(F.collect_list(F.struct("gram", "body", "one.start", "one.number", (F.col("n") > 1).alias("known"))).alias("want"))
-    fetched = texts.select("tk", "text").join(wanted, "tk").select("text", "want")
+    hot = None
+    if level < LEVELS:
+        hot = scratch.cut(kinds.groupBy("gram").count().filter(F.col("count") > crowded).select("gram"), "crowded")
+        hot = None if hot.isEmpty() else hot
+
+    def fetched(some: DataFrame) -> DataFrame:
+        """(gram, body, n, data) of some kinds of pieces."""
+        wanted = some.groupBy("one.tk").agg(F.collect_list(F.struct("gram", "body", "one.start", "one.number", "n")).alias("want"))
+        return texts.select("tk", "text").join(wanted, "tk").select("text", "want").mapInArrow(fetch, "gram long, body long, n long, data binary")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gram, body, known, data = [], [], [], []
+            gram, body, n, data = [], [], [], []
             for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = t.encode("utf-8", "replace")
+                t = as_bytes(t)
                 for w in want:
                     gram.append(w["gram"])
                     body.append(w["body"])
-                    known.append(w["known"])
+                    n.append(w["n"])
                     data.append(t[w["start"] : w["start"] + w["number"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(body, pa.int64()), pa.array(known, pa.bool_()), pa.array(data, pa.binary())], names=["gram", "body", "known", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(body, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["gram", "body", "n", "data"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -192,7 +213,7 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
         def flush() -> pa.RecordBatch:
             with Disk() as disk:
                 found = shard_repeats([x[3] for x in held], length, disk)
-            some = [(x[0], x[1], [{"a": a, "b": b + length - 1} for a, b in f]) for x, f in zip(held, found) if f and not x[2]]
+            some = [(x[0], x[1], [{"a": a, "b": b + length - 1} for a, b in f]) for x, f in zip(held, found) if f and x[2] < 2]
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
             return pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int64()), pa.array([s[1] for s in some], pa.int64()), pa.array([s[2] for s in some], kind)], names=["gram", "body", "found"])
 
@@ -206,12 +227,18 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
         if held:
             yield flush()
 
-    dealt = fetched.mapInArrow(fetch, "gram long, body long, known boolean, data binary").repartition("gram").sortWithinPartitions("gram")
-    told = scratch.cut(dealt.mapInArrow(sort, "gram long, body long, found array<struct<a:int,b:int>>"), "sorted")
-    known = kinds.filter("n > 1").select("gram", "body", F.lit(None).cast("array<struct<a:int,b:int>>").alias("found"))
-    verdict = scratch.cut(known.unionByName(told), "verdict")
+    dealt = fetched(kinds if hot is None else kinds.join(hot, "gram", "left_anti")).repartition("gram").sortWithinPartitions("gram")
+    told = scratch.cut(dealt.mapInArrow(sort, f"gram long, body long, found {FOUND}"), "sorted")
+    known = kinds.filter("n > 1").select("gram", "body", F.lit(None).cast(FOUND).alias("found"))
+    verdict = known.unionByName(told)
+    if hot is not None:
+        key = F.unhex(F.concat(F.lpad(F.hex("gram"), 16, "0"), F.lpad(F.hex("body"), 16, "0")))
+        again = scratch.cut(fetched(kinds.join(hot, "gram", "left_semi")).select("gram", "body", key.alias("tk"), F.col("n").alias("copies"), F.col("data").alias("text")), "again")
+        deeper = repeated_spans(scratch, again.select("tk", "copies", "text"), length, shard, crowded, level + 1)
+        verdict = verdict.unionByName(again.filter("copies < 2").select("gram", "body", "tk").join(deeper, "tk").select("gram", "body", F.col("spans").alias("found")))
+    verdict = scratch.cut(verdict, "verdict")
     part = mixed.join(verdict, ["gram", "body"]).select("tk", "start", "number", "found")
-    whole = looked_at.filter("not mixed").select("tk", "start", "number", F.lit(None).cast("array<struct<a:int,b:int>>").alias("found"))
+    whole = looked_at.filter("not mixed").select("tk", "start", "number", F.lit(None).cast(FOUND).alias("found"))
     spans = part.unionByName(whole).select(
         "tk",
         F.explode(F.when(F.col("found").isNull(), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("number") + length - 1).alias("b")))).otherwise(F.transform("found", lambda f: F.struct((F.col("start") + f["a"]).alias("a"), (F.col("start") + f["b"]).alias("b"))))).alias("s"),
@@ -221,12 +248,12 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
     return out
 
 
-def kept(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def kept(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED) -> DataFrame:
     """(tk, n_bytes, n_removed, n_spans, kept) for each distinct text: its remaining bytes."""
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "suffixes")
     texts = distinct_texts(scratch, docs, text_col)
-    joined = texts.select("tk", "text").join(repeated_spans(scratch, texts, length, shard), "tk", "left").select("tk", "text", "spans")
+    joined = texts.select("tk", "text").join(repeated_spans(scratch, texts, length, shard, crowded), "tk", "left").select("tk", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,10 +270,10 @@ def kept(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard: i
     return joined.mapInArrow(run, "tk binary, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
     scratch = Scratch(docs.sparkSession, "digest")
-    found = kept(docs, text_col, length)
+    found = kept(docs, text_col, length, shard, crowded)
     found = scratch.cut(found.select("tk", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "digest")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", text_key().alias("tk"))
     return rows.join(found, "tk").drop("tk")

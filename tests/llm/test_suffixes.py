@@ -69,14 +69,14 @@ def documents(g):
     return [(i if i % 7 else None, t, "x") for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("shard", [suffix_dedup.SHARD, 2000])
-def test_documents(spark, shard, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+@pytest.mark.parametrize("shard, crowded", [(suffix_dedup.SHARD, suffix_dedup.CROWDED), (2000, 1)])
+def test_documents(spark, shard, crowded):
+    """In one shard and in many, and with every gram sent through further rounds."""
     rows = documents(random.Random(6))
     df = spark.createDataFrame(rows, "doc_id long, text string, tk string")
     texts = [(t or "").encode() for _, t, _ in rows]
     expected = sorted((str(i), len(b), gone, n, hashlib.sha256(left).hexdigest()) for (i, _, _), b, (left, gone, n) in zip(rows, texts, brute(texts, 200)))
-    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(df).collect())
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(df, shard=shard, crowded=crowded).collect())
     assert got == expected
     kept = suffix_dedup.keep(df)
     assert kept.columns == df.columns
