@@ -221,3 +221,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     linked = rows.filter(good).join(classes, "v").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: The same by all pairs, in DuckDB's SQL.
+SQL = f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+d AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM g WHERE len(v) = (SELECT len(v) FROM g GROUP BY len(v) ORDER BY count(*) DESC, len(v) LIMIT 1)),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM d a JOIN d b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.size * b.size) >= {COSINE}),
+r AS (SELECT vec_id AS n, vec_id AS m FROM d UNION SELECT r.n, l.y FROM r JOIN l ON r.m = l.x),
+c AS (SELECT n, min(m) AS least FROM r GROUP BY n), k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(k.n_links, 0) AS n_links, coalesce(c.least, e.vec_id) AS component_id, coalesce(c.least, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN k ON k.x = e.vec_id LEFT JOIN c ON c.n = e.vec_id
+"""

@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quotation_chat": quotation.SQL}
+    return {"op4_quotation_chat": quotation.SQL, "op5_embedding_near_dedup": embedding_dedup.SQL}
