@@ -20,22 +20,30 @@ FIXES = REWRITES[:11]
 DOUBLE_NEGATIVE = "なくはない|ないわけではない|ないことはない|なくもない"
 
 
-def _messages(lines: Column, rule: str, text: str, hits: Callable[[Column], Column], fixable: bool = False) -> Column:
+Hits = Callable[[Column, Column], Column]
+
+
+def _messages(lines: Column, rule: str, text: str, hits: Hits, fixable: bool = False) -> Column:
     """A message for each hit of each line."""
-    made = lambda line, i: F.transform(hits(line), lambda _: F.struct(F.lit(rule).alias("ruleId"), F.lit(text).alias("message"), (i + 1).cast("int").alias("line"), F.lit(1).alias("column"), F.lit(fixable).alias("fixable")).cast(MESSAGE))
+    made = lambda x, i: F.transform(hits(x["line"], x["sentences"]), lambda _: F.struct(F.lit(rule).alias("ruleId"), F.lit(text).alias("message"), (i + 1).cast("int").alias("line"), F.lit(1).alias("column"), F.lit(fixable).alias("fixable")).cast(MESSAGE))
     return F.flatten(F.transform(lines, made))
 
 
-def _found(pattern: str) -> Callable[[Column], Column]:
-    return lambda line: F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+def _found(pattern: str) -> Hits:
+    return lambda line, _: F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+
+
+def _sentences(bad: Callable[[Column], Column]) -> Hits:
+    return lambda _, sentences: F.filter(sentences, bad)
 
 
-def _sentences(bad: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda line: F.filter(split_sentences(line), bad)
+def split_lines(plain: Column) -> Column:
+    """Lines with their sentences."""
+    return F.transform(F.split(plain, "\n", -1), lambda x: F.struct(x.alias("line"), split_sentences(x).alias("sentences")))
 
 
-#: rule -> (message, hits of a line, whether fix() mends it)
-RULES: dict[str, tuple[str, Callable[[Column], Column], bool]] = {
+#: rule -> (message, hits of a line and its sentences, whether fix() mends it)
+RULES: dict[str, tuple[str, Hits, bool]] = {
     "sentence-length": ("a sentence of more than 100 characters", _sentences(lambda s: units(squeeze(s)) > VERY_LONG), False),
     "max-ten": ("more than three commas in a sentence", _sentences(lambda s: F.regexp_count(s, F.lit("、")) > 3), False),
     "max-kanji-run": ("five kanji or more in a row", _found(f"[{KANJI}]{{5,}}"), False),
@@ -45,7 +53,7 @@ RULES: dict[str, tuple[str, Callable[[Column], Column], bool]] = {
 PACKS: dict[str, tuple[str, ...]] = {"default": tuple(RULES), "fixable": ("no-redundant-expression",)}
 
 
-def register(rule: str, message: str, hits: Callable[[Column], Column], fixable: bool = False, pack: str = "default") -> None:
+def register(rule: str, message: str, hits: Hits, fixable: bool = False, pack: str = "default") -> None:
     """Adds a rule to a pack."""
     RULES[rule] = (message, hits, fixable)
     PACKS[pack] = (*PACKS.get(pack, ()), rule)
@@ -53,7 +61,7 @@ def register(rule: str, message: str, hits: Callable[[Column], Column], fixable:
 
 def lint(text: Column, pack: str = "default") -> Column:
     """All messages of a text, code left out, by rule and line."""
-    return of_lines(F.split(strip_markdown(text), "\n", -1), pack)
+    return of_lines(split_lines(strip_markdown(text)), pack)
 
 
 def of_lines(lines: Column, pack: str) -> Column:
@@ -85,5 +93,5 @@ def fix(text: Column) -> Column:
 
 def with_lint(df: DataFrame, text: str, out: str, pack: str = "default") -> DataFrame:
     """df with the messages of a text column; lines and messages are columns of their own, so that they are found once."""
-    df = df.withColumn("_lines", F.split(strip_markdown(F.coalesce(F.col(text), F.lit(""))), "\n", -1))
-    return df.withColumn(out, of_lines(F.col("_lines"), pack)).drop("_lines")
+    df = df.withColumn("_plain", strip_markdown(F.coalesce(F.col(text), F.lit("")))).withColumn("_lines", split_lines(F.col("_plain")))
+    return df.withColumn(out, of_lines(F.col("_lines"), pack)).drop("_plain", "_lines")
