@@ -2,16 +2,16 @@
 
 Vectors are scaled to length 1. A coarse quantiser (k-means on at most SAMPLE distinct vectors) deals them into inverted
 lists; what a vector differs from its list's centre is coded by a codebook for each of SUBSPACES subspaces. A vector
-probes the PROBES lists whose centres are nearest. In a probed list, asymmetric distances (exact query, coded member)
-come from lookup tables; the coding error of every member is known, so the bound "distance to the code minus the error"
-never rules out a pair that links. What is left is verified by the exact cosine in double precision.
+probes every list that can hold a link: its distance to the centre is at most the list's radius and a link's length, and
+it is within a link's length of the plane between its own centre and the list's, as each member is nearest to its own. In
+the lists, asymmetric distances (exact query, coded member) come from lookup tables; the coding error of every member is
+known, so the bound "distance to the code minus the error" never rules out a pair that links. What is left is verified by
+the exact cosine in double precision. So all links are found, in as many steps as the lists are apart: vectors without
+any structure probe nearly all lists.
 
-Equal vectors are one entry. Lists are cut into blocks of BLOCK members, and the queries of a block into blocks as well,
-so that a list with a third of all vectors is many bounded groups, and each gives sums and a spanning forest of its
-links, not the links.
-
-Every vector is indexed and every vector is a query. A pair is found if either vector probes the other's list; recall
-against brute force is tested.
+Equal vectors are one entry. Neighbouring lists are put together, and large ones cut, to blocks of the same size. Each
+pair of blocks with lists that can hold a link is a bounded group, and gives sums and a spanning forest of its links, not
+the links.
 
 Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components, and vectors of another
 dimension than the most frequent one, link with nothing; repeated vectors link with each other; a null id keeps its row
@@ -32,9 +32,10 @@ from .common import Scratch, components
 COSINE = 0.9
 SAMPLE = 20_000
 LIST_SIZE, MOST_LISTS = 160, 4096
-PROBES = 12
 SUBSPACES, CODES = 8, 64
 BLOCK = 2048
+SIDE = 8  # times BLOCK: vectors on one side of a group, fewer where they are long
+SLACK = 1e-5  # of bounds, for rounding
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -104,36 +105,59 @@ def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = least
 
 
-def matched(index: Index, home: int, q: np.ndarray, qid: np.ndarray, qhome: np.ndarray, x: np.ndarray, xid: np.ndarray, xprobes: np.ndarray, codes: np.ndarray, error: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query row, member row) of one list that link, each pair of vectors once over all lists."""
-    centre = index.centres[home]
-    rest = index.decode(codes)
+def meeting(centres: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+    """Whether members of two lists can be within reach, for all pairs of lists."""
+    size = (centres * centres).sum(1)
+    out = np.empty((len(centres), len(centres)), bool)
+    for i in range(0, len(centres), 256):
+        d = size[i : i + 256, None] + size[None, :] - 2 * centres[i : i + 256] @ centres.T
+        out[i : i + 256] = d <= (radius[i : i + 256, None] + radius[None, :] + reach + SLACK) ** 2
+    return out
+
+
+def matched(index: Index, q: np.ndarray, qid: np.ndarray, qhome: np.ndarray, x: np.ndarray, xid: np.ndarray, xhome: np.ndarray, codes: np.ndarray, error: np.ndarray, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query row, member row) that link; where both sides are the same vectors, each pair once."""
+    reach = np.sqrt(max(0.0, 2 - 2 * cosine))
+    lists, place = np.unique(xhome, return_inverse=True)
+    centres = index.centres[lists]
+    radius = np.zeros(len(lists))
+    np.maximum.at(radius, place, np.sqrt(((x - centres[place]) ** 2).sum(1)))
+    code = centres[place] + index.decode(codes)
     # |q - c - r|^2 = |q|^2 + |c + r|^2 - 2 q.c - 2 q.r, and q.r is the sum of table entries
-    fixed = ((centre + rest) ** 2).sum(1)
-    far = np.sqrt(max(0.0, 2 - 2 * cosine)) + error + 1e-6
-    a, b = [], []
-    step = max(1, (1 << 20) // max(1, len(x)))
+    fixed = 1 + (code * code).sum(1) - (reach + error + SLACK) ** 2
+    size = (centres * centres).sum(1)
+    order = np.argsort(qhome, kind="stable")
+    step = 256
     for i in range(0, len(q), step):
-        part = q[i : i + step]
-        tables = index.tables(part)
-        product = np.zeros((len(part), len(x)))
-        for k, t in enumerate(tables):
-            product += t[:, codes[:, k]]
-        distance = 1 + fixed[None, :] - 2 * (part @ centre)[:, None] - 2 * product
-        r, c = np.nonzero(distance <= (far * far)[None, :])
-        for s in range(0, len(r), 1 << 18):
-            rr, cc = r[s : s + (1 << 18)] + i, c[s : s + (1 << 18)]
-            ok = ((q[rr] * x[cc]).sum(1) >= cosine) & (qid[rr] != xid[cc])
-            rr, cc = rr[ok], cc[ok]
-            # where the member probes the query's list too, the pair turns up twice: the smaller id as query counts
-            both = (xprobes[cc] == qhome[rr][:, None]).any(1)
-            take = ~both | (qid[rr] < xid[cc])
-            a.append(rr[take])
-            b.append(cc[take])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, probes: int = PROBES) -> DataFrame:
+        rows = order[i : i + step]
+        part, home = q[rows], index.centres[qhome[rows]]
+        product = part @ centres.T
+        far = 1 + size[None, :] - 2 * product
+        apart = np.sqrt(np.maximum((home * home).sum(1)[:, None] + size[None, :] - 2 * home @ centres.T, 0))
+        probed = (far <= (radius + reach + SLACK)[None, :] ** 2) & (far - ((part - home) ** 2).sum(1)[:, None] <= 2 * reach * apart + SLACK)
+        here = np.flatnonzero(probed.any(0)[place])
+        tables = [np.ascontiguousarray(t.T, np.float32) for t in index.tables(part)]
+        base = np.ascontiguousarray(product.T, np.float32)
+        for k in range(0, len(here), BLOCK):
+            some = here[k : k + BLOCK]
+            near = base[place[some]]
+            for n, t in enumerate(tables):
+                near += t[codes[some, n]]
+            c, r = np.nonzero(2 * near >= (fixed[some] - SLACK)[:, None].astype(np.float32))
+            if len(r) * 32 > near.size:
+                c, r = np.nonzero(x[some] @ part.T >= cosine)
+            else:
+                ok = np.concatenate([(part[r[s : s + (1 << 16)]] * x[some[c[s : s + (1 << 16)]]]).sum(1) >= cosine for s in range(0, len(r), 1 << 16)] or [np.empty(0, bool)])
+                c, r = c[ok], r[ok]
+            a, b = rows[r], some[c]
+            if same:
+                once = qid[a] < xid[b]
+                a, b = a[once], b[once]
+            if len(a):
+                yield a, b
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
@@ -155,7 +179,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     chosen = unit(chosen.values.to_numpy(zero_copy_only=False).reshape(len(chosen), -1))
     index = Index(chosen, max(1, min(n // LIST_SIZE, MOST_LISTS, len(chosen))))
     shared = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centres
-    probes = min(probes, len(index.centres))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -164,54 +187,64 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 continue
             v = b.column(1)
             x = unit(v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-            near = nearest(x, ix.centres, probes)
-            codes = ix.code(x, near[:, 0])
-            error = np.sqrt(((x - ix.centres[near[:, 0]] - ix.decode(codes)) ** 2).sum(1))
+            home = nearest(x, ix.centres)[:, 0]
+            codes = ix.code(x, home)
+            rest = x - ix.centres[home]
+            error = np.sqrt(((rest - ix.decode(codes)) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), v, b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(near.ravel(), pa.int32()), probes).cast(pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                names=["key", "v", "copies", "probes", "codes", "error"],
+                [b.column(0), v, b.column(2), pa.array(home, pa.int32()), pa.array(np.sqrt((rest * rest).sum(1))), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
+                names=["key", "v", "copies", "home", "off", "codes", "error"],
             )
 
-    coded = scratch.cut(distinct.select("key", "v", "copies").mapInArrow(assign, "key long, v array<double>, copies long, probes array<int>, codes binary, error double"), "coded")
-    sizes = {r["home"]: r["count"] for r in coded.groupBy(F.col("probes")[0].alias("home")).count().collect()}  # a number for each list
-    asked = {r["col"]: r["count"] for r in coded.select(F.explode("probes").alias("col")).groupBy("col").count().collect()}
-    cuts = spark.createDataFrame([(h, -(-k // BLOCK), -(-asked.get(h, 0) // BLOCK)) for h, k in sizes.items()], "list int, members int, queries int")
-    cuts = F.broadcast(cuts)  # a row for each list
-    member = coded.withColumn("list", F.col("probes")[0]).join(cuts, "list")
-    member = member.select("list", F.pmod(F.xxhash64("key"), "members").cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("q"), F.lit(0).alias("asks"), "key", "v", "copies", "probes", "codes", "error")
-    query = coded.select(F.explode("probes").alias("list"), "key", "v", "copies", "probes").join(cuts, "list")
-    query = query.select("list", F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("m"), F.pmod(F.xxhash64("key"), "queries").cast("int").alias("q"), F.lit(1).alias("asks"), "key", "v", "copies", "probes", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+    coded = scratch.cut(distinct.select("key", "v", "copies").mapInArrow(assign, "key long, v array<double>, copies long, home int, off double, codes binary, error double"), "coded")
+    size, radius = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres))
+    for r in coded.groupBy("home").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect():  # a row for each list
+        size[r["home"]], radius[r["home"]] = r["n"], r["off"]
+    block = BLOCK * max(1, min(SIDE, 512 // common["d"]))
+    # near lists follow one another, and each block of so many places is of a few lists
+    order = np.argsort(nearest(index.centres, kmeans(index.centres, max(1, n // block)))[:, 0], kind="stable")
+    end = np.cumsum(size[order])
+    begin = end - size[order]
+    reach = meeting(index.centres[order], radius[order], np.sqrt(max(0.0, 2 - 2 * cosine)))
+    blocks = [np.flatnonzero((begin < (k + 1) * block) & (end > k * block)) for k in range(-(-n // block))]
+    rows_of = [np.logical_or.reduce(reach[b], axis=0) for b in blocks]
+    meets = [(k, [j for j, b in enumerate(blocks) if some[b].any()]) for k, some in enumerate(rows_of)]
+    places = spark.createDataFrame([(int(order[k]), int(begin[k]), int(size[order[k]])) for k in range(len(order)) if size[order[k]]], "home int, begin long, size long")
+    meets = spark.createDataFrame(meets, "block int, others array<int>")
+    dealt = coded.drop("off").join(F.broadcast(places), "home").withColumn("block", ((F.col("begin") + F.pmod(F.xxhash64("key"), "size")) / F.lit(block)).cast("int")).drop("begin", "size")
+    dealt = dealt.join(F.broadcast(meets), "block").withColumn("other", F.explode("others")).drop("others")
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "v", "copies", "home", "codes", "error")
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
     def search(group: pa.Table) -> pa.Table:
         """n rows (a, null, n): links of a; rows (a, b, null): links that join what the group joins."""
         ix = shared.value
-        asks = group.column("asks").to_numpy() == 1
-        x = unit(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asks), -1))
-        key, copies = group.column("key").to_numpy(), group.column("copies").to_numpy()
-        near = group.column("probes").combine_chunks().flatten().to_numpy().reshape(len(asks), -1)
-        mem = np.flatnonzero(~asks)
-        ask = np.flatnonzero(asks)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        block = group.column("block").to_numpy()
+        x = unit(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1))
+        keys, copies, home, error = (group.column(c).to_numpy() for c in ("key", "copies", "home", "error"))
+        codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.uint8).reshape(len(block), -1)
+        ask, mem = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(mem) or not len(ask):
             return out.empty_table()
-        codes = np.frombuffer(b"".join(group.column("codes").take(pa.array(mem)).to_pylist()), np.uint8).reshape(len(mem), -1)
-        error = group.column("error").to_numpy()[mem]
-        r, c = matched(ix, group.column("list")[0].as_py(), x[ask], key[ask], near[ask, 0], x[mem], key[mem], near[mem], codes, error, cosine)
-        if not len(r):
-            return out.empty_table()
-        keys, place = np.unique(np.concatenate([key[ask][r], key[mem][c]]), return_inverse=True)
-        a, b = place[: len(r)], place[len(r) :]
-        total = np.bincount(a, copies[mem][c], len(keys)) + np.bincount(b, copies[ask][r], len(keys))
-        label = connect(len(keys), a, b)
+        total = np.zeros(len(keys))
+        label = np.arange(len(keys))
+        for r, c in matched(ix, x[ask], keys[ask], home[ask], x[mem], keys[mem], home[mem], codes[mem], error[mem], cosine, i == j):
+            a, b = ask[r], mem[c]
+            total += np.bincount(a, copies[b], len(keys)) + np.bincount(b, copies[a], len(keys))
+            new = label[a] != label[b]
+            if new.any():
+                label = connect(len(keys), label[a[new]], label[b[new]])[label]
+        some = np.flatnonzero(total)
         joined = np.flatnonzero(label != np.arange(len(keys)))
-        none = pa.nulls(len(keys), pa.int64())
+        none = pa.nulls(len(some), pa.int64())
         return pa.concat_tables([
-            pa.Table.from_arrays([pa.array(keys), none, pa.array(total.astype(np.int64))], schema=out),
+            pa.Table.from_arrays([pa.array(keys[some]), none, pa.array(total[some].astype(np.int64))], schema=out),
             pa.Table.from_arrays([pa.array(keys[joined]), pa.array(keys[label[joined]]), pa.nulls(len(joined), pa.int64())], schema=out),
         ])
 
-    found = scratch.cut(member.unionByName(query).groupBy("list", "m", "q").applyInArrow(search, "a long, b long, n long"), "found")
+    found = scratch.cut(dealt.groupBy("i", "j").applyInArrow(search, "a long, b long, n long"), "found")
     counts = found.filter("n is not null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     root = components(scratch, found.filter("b is not null").select("a", "b"))
     known = distinct.select("key", "v", "copies", "least").join(counts, "key", "left").join(root.withColumnRenamed("node", "key"), "key", "left")

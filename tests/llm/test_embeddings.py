@@ -1,6 +1,7 @@
 """Links of embeddings against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexigauge.llm import embedding_dedup
@@ -47,3 +48,17 @@ def test_odd_rows(spark):
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 12, 13))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
     assert embedding_dedup.near_duplicates(df.filter("vec_id in (4, 5)")).count() == 2
+
+
+def test_large_group_of_near_vectors(spark):
+    """A third of 60,000 distinct vectors are near each other: their links are found from every list."""
+    g = np.random.default_rng(7)
+    n, d = 60_000, 32
+    x = g.standard_normal((n, d))
+    x[: n // 3] = x[0] + g.standard_normal((n // 3, d)) * 0.3
+    x = x.astype(np.float32)
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float32()))})
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(table)).select("vec_id", "n_links").toArrow().sort_by("vec_id").column("n_links").to_numpy()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = np.concatenate([(u[i : i + 2000] @ u.T >= 0.9).sum(1) - 1 for i in range(0, n, 2000)])
+    assert linked.sum() > 50_000_000 and np.array_equal(got, linked)
