@@ -4,8 +4,8 @@ A page is parsed into its element tree. Each element's subtree has a hash over i
 distinct pages of a host that have a subtree, and subtrees that recur across many pages of the host are its template:
 they are deleted, with the elements that are never main text by their kind (navigation, footers, forms, scripts, ...)
 or by what their class, id or role says (advert, sidebar, notice, comments, ...). Inside an element that a page declares
-as its article, recurrence is quotation or a copied article, not template, so counting leaves it alone. The text comes
-from the page's articles, else from its main element, else from its body.
+as its article, and in what is around it, recurrence is quotation or a copied article, not template, so counting leaves
+it alone. The text comes from the page's articles, else from its main element, else from its body.
 
 A subtree is template if at least LEAST distinct pages and SHARE of the distinct pages of its host have it. Pages whose
 html is equal count once.
@@ -137,9 +137,10 @@ def unwanted(node: Node, inside: bool) -> bool:
 
 
 def subtrees(root: Node) -> Iterator[tuple[Node, int, bool]]:
-    """(element, hash of its subtree, whether it is or is inside an article), children first. No recursion: html can be nested at any depth."""
+    """(element, hash of its subtree, whether it is, is inside or leads to an article), children first. No recursion: html can be nested at any depth."""
     todo = [(root, False, False)]
     hashes: dict[int, int] = {}
+    leads: set[int] = set()
     while todo:
         node, inside, ready = todo.pop()
         here = inside or node.tag == "article"
@@ -152,18 +153,21 @@ def subtrees(root: Node) -> Iterator[tuple[Node, int, bool]]:
             parts.append(f"<{hashes.pop(id(k)):x}>" if isinstance(k, Node) else GAP.sub(" ", k).strip())
         h = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace")) - (1 << 63)
         hashes[id(node)] = h
-        yield node, h, here
+        # an article that is a comment or in a sidebar gives no text
+        if any(isinstance(k, Node) and (k.tag == "article" or id(k) in leads) and not unwanted(k, k.tag == "article") for k in node.kids):
+            leads.add(id(node))
+        yield node, h, here or id(node) in leads
 
 
 def template_candidates(source: str) -> set[int]:
     """Hashes of a page's subtrees that could be its site's template."""
-    return {h for node, h, inside in subtrees(parse(source)) if not inside and node.tag not in ("#root", "html", "body", "head")}
+    return {h for node, h, article in subtrees(parse(source)) if not article and node.tag not in ("#root", "html", "body", "head")}
 
 
 def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page whose site's template has these subtrees."""
     root = parse(source)
-    gone = {id(node) for node, h, inside in subtrees(root) if not inside and h in template} if template else set()
+    gone = {id(node) for node, h, article in subtrees(root) if not article and h in template} if template else set()
     articles, mains = [], []
     todo = [(root, False)]
     while todo:

@@ -141,3 +141,12 @@ def test_templates(spark):
     assert got[3] == "Story 3 is about 9." and got[102] == got[1] == "Story 1 is about 1."
     assert got[100].startswith("Welcome") and got[101] == "" and got[205] == "Same quote\n\nOwn 5"
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_copied_articles_inside_wrappers(spark):
+    """An article that many pages of a host carry stays, whatever is around it; a comment's wrapper goes."""
+    whole = lambda k: f"<body><p>Menu {k}</p><main><div id=content><article><p>The same story.</p></article></div></main><p>Advert {k}</p></body>"
+    noted = lambda k: f"<body><div><p>Hello all</p><article class=comment><p>Me too</p></article></div><p>Own {k}</p></body>"
+    rows = [(k, f"http://a.example/{k}", whole(k)) for k in range(20)] + [(100 + k, f"http://b.example/{k}", noted(k)) for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "The same story." and got[100 + k] == f"Own {k}" for k in range(20))
