@@ -7,8 +7,10 @@ or by what their class, id or role says (advert, sidebar, notice, comments, ...)
 as its article, and in what is around it, recurrence is quotation or a copied article, not template, so counting leaves
 it alone. The text comes from the page's articles, else from its main element, else from its body.
 
-A subtree is template if at least LEAST distinct pages and SHARE of the distinct pages of its host have it. Pages whose
-html is equal count once.
+A subtree is template if at least LEAST distinct pages and SHARE of the distinct pages of its host have it. On a large
+host SHARE would keep a section's menu or one of many notices, so there a count is enough that grows with the logarithm
+of the host's pages (needed()). Only texts of less than WORDY characters still need SHARE, as short ones, like the cells
+of tables, recur by chance. Pages whose html is equal count once.
 
 Blocks are separated by block elements; inside a block white space turns into one space; blocks are joined by a blank
 line in page order. Character references are decoded once, after the markup is gone.
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, text_of
 
 LEAST = 5
 SHARE = 0.2
+WORDY = 16
 PARTS = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -136,10 +139,11 @@ def unwanted(node: Node, inside: bool) -> bool:
     return False
 
 
-def subtrees(root: Node) -> Iterator[tuple[Node, int, bool]]:
-    """(element, hash of its subtree, whether it is, is inside or leads to an article), children first. No recursion: html can be nested at any depth."""
+def subtrees(root: Node) -> Iterator[tuple[Node, int, bool, bool]]:
+    """(element, hash of its subtree, whether it is, is inside or leads to an article, whether its text is WORDY), children first. No recursion: html can be nested at any depth."""
     todo = [(root, False, False)]
     hashes: dict[int, int] = {}
+    sizes: dict[int, int] = {}
     leads: set[int] = set()
     while todo:
         node, inside, ready = todo.pop()
@@ -149,25 +153,28 @@ def subtrees(root: Node) -> Iterator[tuple[Node, int, bool]]:
             todo += [(k, here, False) for k in node.kids if isinstance(k, Node)]
             continue
         parts = [node.tag]
+        size = 0
         for k in node.kids:
             parts.append(f"<{hashes.pop(id(k)):x}>" if isinstance(k, Node) else GAP.sub(" ", k).strip())
+            size += sizes.pop(id(k)) if isinstance(k, Node) else len(parts[-1])
+        sizes[id(node)] = size
         h = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "replace")) - (1 << 63)
         hashes[id(node)] = h
         # an article that is a comment or in a sidebar gives no text
         if any(isinstance(k, Node) and (k.tag == "article" or id(k) in leads) and not unwanted(k, k.tag == "article") for k in node.kids):
             leads.add(id(node))
-        yield node, h, here or id(node) in leads
+        yield node, h, here or id(node) in leads, size >= WORDY
 
 
-def template_candidates(source: str) -> set[int]:
-    """Hashes of a page's subtrees that could be its site's template."""
-    return {h for node, h, article in subtrees(parse(source)) if not article and node.tag not in ("#root", "html", "body", "head")}
+def template_candidates(source: str) -> dict[int, bool]:
+    """Hashes of a page's subtrees that could be its site's template, with whether they are WORDY."""
+    return {h: wordy for node, h, article, wordy in subtrees(parse(source)) if not article and node.tag not in ("#root", "html", "body", "head")}
 
 
 def main_text(source: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of a page whose site's template has these subtrees."""
     root = parse(source)
-    gone = {id(node) for node, h, article in subtrees(root) if not article and h in template} if template else set()
+    gone = {id(node) for node, h, article, _ in subtrees(root) if not article and h in template} if template else set()
     articles, mains = [], []
     todo = [(root, False)]
     while todo:
@@ -216,39 +223,51 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def needed(pages: Column, least: int = LEAST, share: float = SHARE) -> Column:
+    """Distinct pages of a host that a wordy subtree must be on: the share of a small host, then least more for each doubling of the host."""
+    times = F.greatest(share * pages / F.lit(float(least)), F.lit(1.0))
+    return F.least(share * pages, least * (1 + F.log2(times)))
+
+
 def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur across many pages of a host.
+    """(host, page, template): for each distinct page, by the hash of its html, the hashes of its subtrees that recur across many pages of its host.
 
-    A host has at most 1 / share times a page's mean number of subtrees of them, whatever the host's size. Counts are
-    pre-aggregated, so a host with a third of all pages costs its tasks a row for each of their subtrees.
+    Counts are pre-aggregated, so a host with a third of all pages costs its tasks a row for each of their subtrees. What
+    recurs goes back to its pages in PARTS parts, as a menu can be on all pages of a host.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select(host_of().alias("host"), text_of("html").alias("html"))
+    rows = pages.select(host_of().alias("host"), text_of("html").alias("html")).withColumn("page", F.xxhash64("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, page, found = [], [], []
-            for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                some = template_candidates(source) if source else set()
-                hosts.append(host)
-                page.append(xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) - (1 << 63))
+            found, wordy = [], []
+            for source in b.column(2).to_pylist():
+                some = template_candidates(source) if source else {}
                 found.append(list(some))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(page, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "page", "found"])
+                wordy.append(list(some.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(wordy, pa.list_(pa.bool_()))], names=["host", "page", "found", "wordy"])
 
     scratch = Scratch(pages.sparkSession, "templates")
-    seen = scratch.cut(rows.mapInArrow(run, "host string, page long, found array<long>").groupBy("host", "page").agg(F.first("found").alias("found")), "subtrees")
+    seen = rows.select("host", "page", "html").mapInArrow(run, "host string, page long, found array<long>, wordy array<boolean>").groupBy("host", "page").agg(F.first(F.struct("found", "wordy")).alias("s"))
+    seen = scratch.cut(seen.select("host", "page", "s.found", "s.wordy"), "subtrees")
     # a host's subtrees meet its number of pages in PARTS tasks
-    many = seen.groupBy("host").agg(F.count("*").alias("pages")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    counted = seen.select("host", F.explode("found").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    many = seen.groupBy("host").agg(F.count("*").alias("pages")).withColumn("part", parts)
+    hashes = seen.select("host", "page", F.explode(F.arrays_zip("found", "wordy")).alias("x")).select("host", "page", F.col("x.found").alias("h"), F.col("x.wordy").alias("wordy"))
+    counted = hashes.groupBy("host", "h").agg(F.count("*").alias("n"), F.first("wordy").alias("wordy")).filter(F.col("n") >= least)
     counted = counted.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
-    return scratch.cut(counted.join(many, ["host", "part"]).filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("template")), "template")
+    enough = F.when(F.col("wordy"), needed(F.col("pages"), least, share)).otherwise(share * F.col("pages"))
+    recurs = scratch.cut(counted.join(many, ["host", "part"]).filter(F.col("n") >= enough).select("host", "h"), "recurs")
+    hashes = hashes.select("host", "page", "h").withColumn("part", F.pmod("page", F.lit(PARTS)).cast("int"))
+    return scratch.cut(hashes.join(recurs.withColumn("part", parts), ["host", "h", "part"]).groupBy("host", "page").agg(F.collect_list("h").alias("template")), "template")
 
 
 def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """(page_id, url, text) for every page."""
     small_batches(pages.sparkSession)
     found = templates(pages, least, share)
-    rows = pages.select("page_id", "url", text_of("html").alias("html"), host_of().alias("host")).join(found, "host", "left").select("page_id", "url", "html", "template")
+    rows = pages.select("page_id", "url", text_of("html").alias("html"), host_of().alias("host")).withColumn("page", F.xxhash64("html"))
+    rows = rows.join(found, ["host", "page"], "left").select("page_id", "url", "html", "template")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

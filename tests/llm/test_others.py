@@ -150,3 +150,11 @@ def test_copied_articles_inside_wrappers(spark):
     rows = [(k, f"http://a.example/{k}", whole(k)) for k in range(20)] + [(100 + k, f"http://b.example/{k}", noted(k)) for k in range(20)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == "The same story." and got[100 + k] == f"Own {k}" for k in range(20))
+
+
+def test_templates_of_a_large_host(spark):
+    """One of ten notices and a section's menu go from a host of 400 pages as from a small one; short cells and what few pages have stay."""
+    page = lambda k: f"<body><ul><li>Section {k % 8} front</li><li>Section {k % 8} archive</li></ul><p>Notice {k % 10}: our shop has moved.</p><table><tr><td>{k % 40}</td><td>Row {k}</td></tr></table><p>Story {k}.</p><p>Quoted by {k % 80} and four others.</p></body>"
+    df = spark.createDataFrame([(k, f"http://a.example/{k}", page(k)) for k in range(400)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert len(got) == 400 and all(got[k] == f"{k % 40}\n\nRow {k}\n\nStory {k}.\n\nQuoted by {k % 80} and four others." for k in got)
