@@ -9,7 +9,8 @@ As tuples of one character enter in their final order, the queue is one first-in
 common prefix of two induced neighbours is one more than the least one between the tuples that induced them.
 
 Queues and sorters keep at most MEMORY tuples each in memory and the rest in temporary files of the task, which are
-removed when it ends; longer arrays are memory-mapped files. So a text far larger than memory can be sorted.
+removed when it ends; some longer arrays are memory-mapped files. The text, the S* names and the tuples that the scans
+have taken from the queues are in memory, so the caller bounds the text.
 
 Common-prefix values stop at `limit` (at most 254), and suffixes that agree that far have any order among themselves.
 """

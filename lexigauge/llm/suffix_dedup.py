@@ -9,9 +9,11 @@ ones. Neighbouring strings with the same gram are one piece. Equal strings have
 shards by the gram. Only grams that come at least twice need a look, and pieces with equal bytes count as one: what is
 alike as a whole needs no sorting, and a piece that copies have by the thousand is sorted once. What the suffixes of a
 shard tell about a piece then holds for each of its places. Where more than CROWDED different pieces share a gram, they
-are texts of another round, cut by the leading grams of another order: what differs at one end of the strings then falls
-to other shards, and what is common to all becomes one piece. LEVELS rounds are made at most; a gram that is crowded
-after the last is sorted in one shard, on disk.
+are texts of another round, cut by the leading grams of another order, in which the grams that many of them have come
+last: what differs in the strings then leads, so that they fall to other shards, and what is common to all becomes one
+piece. Which grams come last is found in samples; equal strings have equal leading grams whatever is chosen. After LEVELS
+rounds there are more only while each halves what is crowded; strings that consist of common grams alone can stay
+crowded, and are sorted in one shard.
 
 Distinct texts are worked on once, in a table bucketed by the text's hash, so that texts move once.
 
@@ -40,6 +42,8 @@ GRAM = 16
 #: Bytes of distinct pieces that are sorted at once; a gram's pieces are never divided.
 SHARD = 2 << 20
 CROWDED, LEVELS = 5000, 4
+#: Pieces of a crowded gram that are looked at for grams that many have, and their share that is many.
+SEEN, MANY = 400, 0.02
 POSITION_BITS = 24
 
 
@@ -54,8 +58,7 @@ def gram_hashes(data: np.ndarray, level: int = 0) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
     for _ in range(level):
-        h ^= h >> np.uint64(30)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        h = next_level(h)
     return h
 
 
@@ -71,8 +74,13 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def pieces(data: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, start, number of strings) of the pieces of a text; piece k has the strings that start at start ... start + number - 1."""
+def next_level(h: np.ndarray) -> np.ndarray:
+    """Hashes of grams on the level after theirs."""
+    return (h ^ (h >> np.uint64(30))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def pieces(data: np.ndarray, length: int = LENGTH, level: int = 0, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, start, number of strings) of the pieces of a text; piece k has the strings that start at start ... start + number - 1. Grams of common, sorted hashes of the level, come after all others."""
     n = len(data) - length + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -82,7 +90,11 @@ def pieces(data: np.ndarray, length: int = LENGTH, level: int = 0) -> tuple[np.n
         part = data[a : min(a + step, n) + length - 1]
         h = gram_hashes(part, level)
         # equal hashes: the leftmost is least
-        packed = h & ~np.uint64((1 << POSITION_BITS) - 1) | np.arange(len(h), dtype=np.uint64)
+        ranks = h
+        if common is not None and len(common):
+            late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+            ranks = h >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63)
+        packed = ranks & ~np.uint64((1 << POSITION_BITS) - 1) | np.arange(len(h), dtype=np.uint64)
         best = window_minima(packed, length - GRAM + 1)
         new = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))
         out_h.append(h[(best[new] & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)].view(np.int64))
@@ -152,8 +164,12 @@ def as_bytes(t: str | bytes) -> bytes:
     return t if isinstance(t, bytes) else t.encode("utf-8", "replace")
 
 
-def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED, level: int = 0) -> DataFrame:
-    """(tk, spans): where each distinct text of (tk, copies, text) has strings that begin elsewhere too, as [a, b) in bytes."""
+def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED, level: int = 0, common: np.ndarray | None = None, before: int | None = None) -> DataFrame:
+    """(tk, spans): where each distinct text of (tk, copies, text) has strings that begin elsewhere too, as [a, b) in bytes.
+
+    common: grams that come last on this level; before: how many pieces were crowded on the level before.
+    """
+    last = texts.sparkSession.sparkContext.broadcast(common)  # a few hundred grams for each crowded one
 
     def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -161,7 +177,7 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
             keys, copies, gram, body, start, number = [], [], [], [], [], []
             for tk, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 t = as_bytes(t)
-                h, a, k = pieces(np.frombuffer(t, np.uint8), length, level)
+                h, a, k = pieces(np.frombuffer(t, np.uint8), length, level, last.value)
                 if not len(h):
                     continue
                 gram.append(h)
@@ -184,10 +200,10 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
     # pieces with equal bytes are one; where all pieces of a gram are alike there is nothing to sort
     mixed = looked_at.filter("mixed")
     kinds = scratch.cut(mixed.groupBy("gram", "body").agg(F.sum("copies").alias("n"), F.min(F.struct("tk", "start", "number")).alias("one")), "kinds")
-    hot = None
-    if level < LEVELS:
-        hot = scratch.cut(kinds.groupBy("gram").count().filter(F.col("count") > crowded).select("gram"), "crowded")
-        hot = None if hot.isEmpty() else hot
+    hot = scratch.cut(kinds.groupBy("gram").agg(F.count("*").alias("many")).filter(F.col("many") > crowded), "crowded")
+    still = hot.agg(F.sum("many")).first()[0] or 0
+    if not still or level >= LEVELS and 2 * still > before:
+        hot = None
 
     def fetched(some: DataFrame) -> DataFrame:
         """(gram, body, n, data) of some kinds of pieces."""
@@ -206,6 +222,12 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
                     data.append(t[w["start"] : w["start"] + w["number"] + length - 1])
             yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(body, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["gram", "body", "n", "data"])
 
+    def seen_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for gram, t in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                h = np.unique(next_level(gram_hashes(np.frombuffer(t, np.uint8), level)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), gram, np.int64)), pa.array(h.view(np.int64))], names=["gram", "h"])
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -234,7 +256,12 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
     if hot is not None:
         key = F.unhex(F.concat(F.lpad(F.hex("gram"), 16, "0"), F.lpad(F.hex("body"), 16, "0")))
         again = scratch.cut(fetched(kinds.join(hot, "gram", "left_semi")).select("gram", "body", key.alias("tk"), F.col("n").alias("copies"), F.col("data").alias("text")), "again")
-        deeper = repeated_spans(scratch, again.select("tk", "copies", "text"), length, shard, crowded, level + 1)
+        sample = kinds.join(F.broadcast(hot), "gram").filter(F.pmod(F.xxhash64("body"), F.ceil(F.col("many") / SEEN)) == 0).drop("many")
+        counts = fetched(sample).mapInArrow(seen_grams, "gram long, h long").groupBy("gram", "h").count().join(F.broadcast(hot), "gram")
+        often = counts.filter(F.col("count") >= F.greatest(F.lit(2), MANY * F.least("many", F.lit(SEEN)))).select("h").distinct().toArrow().column("h").to_numpy()
+        later = next_level(common) if common is not None else np.empty(0, np.uint64)
+        later = np.unique(np.concatenate([later, often.view(np.uint64)]))
+        deeper = repeated_spans(scratch, again.select("tk", "copies", "text"), length, shard, crowded, level + 1, later, still)
         verdict = verdict.unionByName(again.filter("copies < 2").select("gram", "body", "tk").join(deeper, "tk").select("gram", "body", F.col("spans").alias("found")))
     verdict = scratch.cut(verdict, "verdict")
     part = mixed.join(verdict, ["gram", "body"]).select("tk", "start", "number", "found")

@@ -83,3 +83,26 @@ def test_documents(spark, shard, crowded):
     left = sorted((str(i), left.decode("utf-8", "ignore") if t is not None else "null") for (i, t, _), (left, _, _) in zip(rows, brute(texts, 200)))
     assert sorted((str(r["doc_id"]), r["text"] if r["text"] is not None else "null") for r in kept.collect()) == left
     assert suffix_dedup.digest(df.limit(0)).count() == 0
+
+
+def test_common_passage_in_differing_surroundings(spark, monkeypatch):
+    """A passage shorter than the strings that all documents have leaves no crowded gram: none of its groups grows with the corpus."""
+    sizes = []
+    cut = suffix_dedup.Scratch.cut
+
+    def watched(self, df, label="t"):
+        out = cut(self, df, label)
+        if label == "crowded":
+            sizes.append(sum(r["count"] for r in out.groupBy().count().collect()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "cut", watched)
+    g = random.Random(4)
+    word = lambda n: "".join(g.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = word(190)
+    texts = [word(g.randrange(250, 300)) + passage + word(g.randrange(250, 300)) for _ in range(300)]
+    texts[7] = texts[3][:520] + texts[7][520:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(df, crowded=40).collect()}
+    assert got == {i: (len(t), gone, n, hashlib.sha256(left).hexdigest()) for i, (t, (left, gone, n)) in enumerate(zip(texts, brute([t.encode() for t in texts], 200)))}
+    assert got[3][1] >= 500 and sizes[0] > 0 and sizes[-1] == 0
