@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,12 @@ def current_hashes(samples: DataFrame) -> DataFrame:
     return samples.filter(succeeded()).select("id", text_hash(F.col("text")).alias("hash"))
 
 
-def fresh_samples(log: DataFrame, expected: DataFrame | None = None, depth: int = 64) -> DataFrame:
+def fresh_samples(log: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """Last samples whose own provenance and whole chain of reuse still hold.
 
     expected: (sourceId, modelId, interventionId, expectedHash); without it own provenance is not asked about. Fresh is
     the least fixpoint: samples that reuse nothing, then those that reuse only what is fresh and unchanged, so a circle
-    never is. Each round works on the edges that are still open; depth bounds the rounds, as chains are short.
+    never is. Each round works on the edges that are still open; rounds end when none is or nothing becomes fresh.
     """
     latest = last_wins(log, ["id"])
     if expected is not None:
@@ -60,7 +62,7 @@ def fresh_samples(log: DataFrame, expected: DataFrame | None = None, depth: int
     fresh = latest.filter("_own").select("id").join(edges.select("id").distinct(), "id", "left_anti")
     waiting = open_edges.join(broken, "id", "left_anti")
     rounds = [fresh]
-    for _ in range(depth):
+    while True:
         waiting = written(waiting)
         if waiting.isEmpty():
             break
@@ -69,12 +71,11 @@ def fresh_samples(log: DataFrame, expected: DataFrame | None = None, depth: int
         ready = written(waiting.select("id").distinct().join(held.select("id").distinct(), "id", "left_anti"))
         if ready.isEmpty():
             break
+        if len(rounds) > 32:
+            rounds = [written(reduce(DataFrame.union, rounds))]
         rounds.append(ready)
         waiting = held.join(ready, "id", "left_anti")
-    known = rounds[0]
-    for r in rounds[1:]:
-        known = known.union(r)
-    return latest.join(known, "id", "left_semi").select(*log.columns, "_ord")
+    return latest.join(reduce(DataFrame.union, rounds), "id", "left_semi").select(*log.columns, "_ord")
 
 
 def fresh_scores(log: DataFrame, hashes: DataFrame, scoring_hash: str | None = None) -> DataFrame:

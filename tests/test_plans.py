@@ -89,6 +89,14 @@ def test_freshness(spark):
     assert ids(store.fresh_samples(log(spark, [("a", "1", None, "b", sha("2")), ("b", "2", None, "a", sha("1"))]))) == []
 
 
+def test_freshness_of_a_long_chain(spark):
+    """Samples are fresh however many reuses they are from their origin; what follows a change is not."""
+    n = 70
+    chain = [(f"s{i:03}", str(i), None, f"s{i - 1:03}" if i else None, sha(str(i - 1)) if i else None) for i in range(n)]
+    chain.append((f"s{n:03}", "end", None, f"s{n - 1:03}", sha("other")))
+    assert ids(store.fresh_samples(log(spark, chain))) == [f"s{i:03}" for i in range(n)]
+
+
 def test_last_wins_keeps_place(spark):
     got = store.last_wins(spark.createDataFrame([("b", 1, 0), ("a", 2, 1), ("b", 3, 2)], "k string, v int, _seq int"), ["k"]).orderBy("_ord").collect()
     assert [(r["k"], r["v"]) for r in got] == [("b", 3), ("a", 2)]
