@@ -6,8 +6,12 @@ kanji, no circumlocution, no double negative. Packs name the rules that are on;
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +63,41 @@ def register(rule: str, message: str, hits: Hits, fixable: bool = False, pack: s
     PACKS[pack] = (*PACKS.get(pack, ()), rule)
 
 
+def pack_of(path: str) -> str:
+    """The pack that a JSON configuration file, {"rules": {rule: true or false}}, switches on; it is registered under its content."""
+    names = json.loads(Path(path).read_text("utf-8")).get("rules", {})
+    on = tuple(r for r, v in names.items() if v is not False)
+    for r in on:
+        if r not in RULES:
+            raise ValueError(f"{path}: no rule {r!r}; there are: {', '.join(RULES)}")
+    name = "rules:" + ",".join(on)
+    PACKS[name] = on
+    return name
+
+
+def packages_of(config: str) -> list[str]:
+    """The packages that a lint configuration in JSON names by its rules and filters, by the linter's naming rules, with the linter itself; of broken JSON only that."""
+    try:
+        found = json.loads(config)
+    except ValueError:
+        found = {}
+
+    def full(name: str, prefix: str) -> str:
+        scope, _, rest = name.rpartition("/")
+        return (f"{scope}/" if scope else "") + (rest if rest.startswith(prefix) else prefix + rest)
+
+    kinds = (("rules", "textlint-rule-"), ("filters", "textlint-filter-rule-"))
+    return sorted({"textlint", *(full(name, prefix) for key, prefix in kinds for name, on in (found.get(key) or {}).items() if on is not False)})
+
+
+def rules_version(pack: str = "default") -> str:
+    """What a pack's results depend on: its rules with their messages and expressions."""
+    sample = split_lines(F.col("text"))
+    rules = [(r, RULES[r][0], str(_messages(sample, r, *RULES[r]))) for r in PACKS[pack]]
+    numbered = re.compile(r"(namedlambdavariable\(\)|\b[a-z]+_\d+)")
+    return hashlib.sha256(json.dumps([(r, m, numbered.sub("x", e)) for r, m, e in rules], ensure_ascii=False).encode()).hexdigest()
+
+
 def lint(text: Column, pack: str = "default") -> Column:
     """All messages of a text, code left out, by rule and line."""
     return of_lines(split_lines(strip_markdown(text)), pack)
@@ -84,10 +123,11 @@ def fixable(messages: Column) -> Column:
     return F.size(F.filter(messages, lambda m: m["fixable"]))
 
 
-def fix(text: Column) -> Column:
+def fix(text: Column, pack: str = "default") -> Column:
     """struct(text, applied, remaining): with the fixable rules mended, how many messages that took, how many are left."""
-    mended = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(UNTOUCHED), x).otherwise(reduce(lambda c, rule: F.regexp_replace(c, *rule), FIXES, x))), "\n")
-    before, after = F.size(lint(text)), F.size(lint(mended))
+    fixes = FIXES if any(RULES[r][2] for r in PACKS[pack]) else ()
+    mended = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(UNTOUCHED), x).otherwise(reduce(lambda c, rule: F.regexp_replace(c, *rule), fixes, x))), "\n")
+    before, after = F.size(lint(text, pack)), F.size(lint(mended, pack))
     return F.struct(mended.alias("text"), F.greatest(before - after, F.lit(0)).cast("int").alias("applied"), after.cast("int").alias("remaining"))
 
 

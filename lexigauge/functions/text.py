@@ -20,7 +20,7 @@ NOMINAL = "こと(?:が|を|は|に|も|で)|という|というもの|もので
 REWRITES = (
     ("することができます", "できます"), ("することができる", "できる"), ("を行います", "します"), ("を行う", "する"), ("を実施し", "し"),
     ("ということ", "こと"), ("というもの", "もの"), ("において", "で"), ("における", "の"), ("に関して", "について"), ("ではないでしょうか", "でしょう"),
-    ("(です|ます)が、", "$1。"), ("(る|た|い)が、", "$1。"), (" ており、", "ています。"), ("ものの、", "ました。ただし、"),
+    ("(です|ます)が、", "$1。"), ("(る|た|い)が、", "$1。"), ("ており、", "ています。"), ("ものの、", "ました。ただし、"),
 )
 UNTOUCHED = "^" + WS + r"*(#|[-*]|\d+\.|```)"
 LONG, VERY_LONG, MANY_COMMAS = 60, 100, 4
@@ -28,13 +28,19 @@ LONG, VERY_LONG, MANY_COMMAS = 60, 100, 4
 _STATE = "struct<fc:string,fl:int,blank:boolean,offsets:array<int>,skip:int,out:array<string>>"
 
 
+#: Lines that are folded at once: what is kept is copied at each line of a block and at each block, not at each line.
+LINES = 512
+#: White space and quote marks up to the last mark of a line's beginning; a class, as Java's groups recurse at each repetition.
+QUOTED = f"{WS[:-1]}>]*> ?"
+
+
 def remove_code_blocks(text: Column) -> Column:
-    """Without fenced and indented code, as one fold over the lines.
+    """Without fenced and indented code, as one fold over the lines, block by block.
 
     The state has the open fence (character and length), whether the line before was blank, the columns at which the
     bodies of the enclosing list items begin, and from which indent on lines of an indented block are dropped (-1: none).
     """
-    quote = f"^(?:{WS}*> ?)+"
+    quote = "^" + QUOTED
     wide = lambda c: F.length(F.regexp_replace(c, "\t", "    "))
 
     def state(s: Column, **new: Column) -> Column:
@@ -69,10 +75,24 @@ def remove_code_blocks(text: Column) -> Column:
         )
 
     start = F.struct(F.lit("").alias("fc"), F.lit(0).alias("fl"), F.lit(True).alias("blank"), F.array().cast("array<int>").alias("offsets"), F.lit(-1).alias("skip"), F.array().cast("array<string>").alias("out")).cast(_STATE)
-    folded = F.aggregate(F.split(text, "\n", -1), start, step, lambda s: F.array_join(s["out"], "\n"))
+    lines = F.split(text, "\n", -1)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / LINES).cast("int")), lambda k: F.slice(lines, k * LINES + 1, F.lit(LINES)))
+
+    def block(s: Column, some: Column) -> Column:
+        done = F.aggregate(some, state(s, out=F.array().cast("array<string>")), step)
+        return F.transform(F.array(done), lambda d: state(d, out=F.when(F.size(d["out"]) == 0, s["out"]).otherwise(F.concat(s["out"], F.array(F.array_join(d["out"], "\n"))))))[0]
+
+    folded = F.aggregate(blocks, start, block, lambda s: F.array_join(s["out"], "\n"))
     # most texts have neither a fence nor an indented line
-    return F.when(text.rlike(f"```|~~~|(?m)^(?:{WS}*> ?)*(?: |\t)"), folded).otherwise(text)
+    return F.when(text.rlike(f"```|~~~|(?m)^{WS[:-1]}>]*[ \t]"), folded).otherwise(text)
+
 
+#: A table's rule: cells of dashes, on one line or, where a line ends without a bar, on several. Repetitions are possessive, as others recurse.
+_BLANK = WS.replace(r"\n", "")
+_DASHES = ":?+-++:?+"
+_CELLS = f"(?:{_BLANK}*+\\|{_BLANK}*+{_DASHES})*+"
+_NEXT_LINE = f"(?:(?:{_BLANK}*+\\n{WS}*+\\|{WS}*+|{_BLANK}*+\\|{_BLANK}*+\\n{WS}*+){_DASHES}{_CELLS}(?={WS}*\\|?{WS}*$))*+"
+TABLE_RULE = f"(?m)^{WS}*\\|?{WS}*:?-+:?{_CELLS}{_NEXT_LINE}{WS}*\\|?{WS}*$"
 
 #: What is stripped from code-free text, in order: (pattern, replacement). White space at a line's begin may span lines.
 MARKDOWN = (
@@ -82,7 +102,7 @@ MARKDOWN = (
     (f"(?m)^{WS}*[-*+]{WS}+", ""),
     (rf"(?m)^{WS}*\d+[.)]{WS}+", ""),
     (f"(?m)^{WS}*>{WS}?", ""),
-    (rf"(?m)^{WS}*\|?{WS}*:?-+:?{WS}*(\|{WS}*:?-+:?{WS}*)*\|?{WS}*$", ""),
+    (TABLE_RULE, ""),
     (r"\|", " "),
     (r"\*\*([^*]+)\*\*", "$1"),
     (r"\[([^\]]+)\]\([^)]*\)", "$1"),
@@ -190,7 +210,7 @@ def escape_delimiters(text: Column, tags: list[str]) -> Column:
 
 def delimiter_tags(template: Column, default: list[str]) -> Column:
     """The default tags and those that a template closes."""
-    return F.array_union(F.array(*[F.lit(t) for t in default]), F.regexp_extract_all(template, F.lit(r"</([A-Za-z_][A-Za-z0-9_]*)>"), F.lit(1)))
+    return F.array_union(F.array(*[F.lit(t) for t in default]), F.regexp_extract_all(template, F.lit(r"</([A-Za-z_][A-Za-z0-9_-]*)\s*>"), F.lit(1)))
 
 
 def tagged(text: Column, tag: str) -> Column:

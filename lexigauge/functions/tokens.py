@@ -67,6 +67,10 @@ def scripts(text: Column) -> Column:
     return F.transform(runs, lambda x: F.struct(x.alias("surface_form"), x.alias("basic_form"), pos(x).alias("pos"), F.lit("*").alias("pos_detail_1")))
 
 
+#: What names the tokenizer and its version in the hash of a scoring; a plug-in gives its own.
+TOKENIZER = "scripts-1"
+
+
 def token_rows(texts: DataFrame, tokenizer=scripts) -> DataFrame:
     """Token rows of (sampleId, plain)."""
     return texts.select("sampleId", F.posexplode(tokenizer(F.col("plain"))).alias("ord", "t")).select("sampleId", "ord", "t.*")

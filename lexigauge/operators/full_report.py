@@ -39,12 +39,13 @@ def build(samples: DataFrame, scores: DataFrame, judgments: DataFrame, votes: Da
         return {k[-1]: {"pct": c["improvementPct"], "delta": c["delta"], "matchedN": c["matchedN"], "matched": c["matched"]} for k, c in changes[by].items() if k[:-1] == at}
 
     out: dict[str, Any] = {"judge": judge, "cells": [], "interventions": [], "models": []}
-    for (m, i), c in sorted(cells.items()):
+    place = report.ranks(samples.sparkSession, sorted({x for key in cells for x in key}))
+    for (m, i), c in sorted(cells.items(), key=lambda x: [place[k] for k in x[0]]):
         row = {"modelId": m, "interventionId": i, "samples": c["samples"], "errors": c["errors"], "stats": by_cell.get((m, i), {}), "judge": wins["judge"].get((m, i)), "human": wins["human"].get((m, i))}
         out["cells"].append(row | ({"changes": change(tuple(report.CELL), (m, i))} if i != baseline else {}))
         if i == baseline and m != report.NO_MODEL:
             out["models"].append(row | {"judge": between["judge"].get((m,)), "human": between["human"].get((m,))})
-    for i in sorted({i for _, i in cells}):
+    for i in sorted({i for _, i in cells}, key=place.get):
         total = {k: sum(c[k] for (_, x), c in cells.items() if x == i) for k in ("samples", "errors")}
         row = {"modelId": "*", "interventionId": i, **total, "stats": by_cell.get(("*", i), {}), "judge": merged["judge"].get((i,)), "human": merged["human"].get((i,))}
         out["interventions"].append(row | ({"changes": change(("interventionId",), (i,))} if i != baseline else {}))

@@ -53,11 +53,21 @@ def assign(pairs: DataFrame, votes: DataFrame, raters: DataFrame, per_rater: int
     tally = votes.groupBy("pairId").agg(F.count("*").alias("n"))
     answered = votes.select("raterId", "pairId").distinct()
     done = answered.groupBy("raterId").agg(F.count("*").alias("done"))
-    # every rater meets every open pair: that is the operator's meaning
-    open_ = raters.crossJoin(pairs).join(answered, ["raterId", "pairId"], "left_anti").join(tally, "pairId", "left").join(done, "raterId", "left")
-    order = Window.partitionBy("raterId").orderBy(F.coalesce("n", F.lit(0)), random_draw(rater_seed(F.col("raterId")), F.col("ord")), "pairId")
-    placed = open_.select("raterId", "pairId", F.row_number().over(order).alias("place"), F.coalesce("done", F.lit(0)).alias("done"))
-    return (placed if per_rater is None else placed.filter(F.col("place") <= F.greatest(F.lit(per_rater) - F.col("done"), F.lit(0)))).drop("done")
+    counted = pairs.join(tally, "pairId", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if per_rater is not None:
+        # a rater's answers and next pairs are per_rater together, so the pairs with the fewest votes that are as many hold all that anyone gets
+        upto = F.sum("pairs").over(Window.orderBy("n"))  # a row for each number of votes
+        reached = counted.groupBy("n").agg(F.count("*").alias("pairs")).withColumn("upto", upto).filter(F.col("upto") >= per_rater).agg(F.min("n")).first()[0]
+        counted = counted if reached is None else counted.filter(F.col("n") <= reached)
+    # every rater meets every pair that may be next: that is the operator's meaning
+    open_ = raters.crossJoin(counted).join(answered, ["raterId", "pairId"], "left_anti")
+    order = Window.partitionBy("raterId").orderBy("n", random_draw(rater_seed(F.col("raterId")), F.col("ord")), "pairId")
+    placed = open_.select("raterId", "pairId", F.row_number().over(order).alias("place"))
+    if per_rater is None:
+        return placed
+    # the first filter lets each task keep only the first of a rater before they are shuffled
+    allowed = placed.filter(F.col("place") <= per_rater).join(done, "raterId", "left")
+    return allowed.filter(F.col("place") <= F.lit(per_rater) - F.coalesce("done", F.lit(0))).drop("done")
 
 
 def tallies(votes: DataFrame) -> DataFrame:

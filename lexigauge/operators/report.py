@@ -6,7 +6,7 @@ report is a grouping of one of the two. Reports name models and interventions by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compat import finite, ratio, round_half_up
@@ -167,6 +167,14 @@ def wide(stats: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     return stats.groupBy(*by).pivot("key", keys).agg(F.first("mean"))
 
 
+def check_baseline(chosen: str, interventions: list[dict]) -> str:
+    """chosen if there is such an intervention: a misspelt baseline would give an empty report."""
+    known = [i["id"] for i in interventions]
+    if chosen not in known:
+        raise ValueError(f"no intervention {chosen!r} to be the baseline; there are: {', '.join(known)}")
+    return chosen
+
+
 def judge_of(judgments: DataFrame, chosen: str | None = None) -> str | None:
     """The judge whose verdicts a report has: the one asked for, else the first by name."""
     judges = sorted(r[0] for r in judgments.select("judgeModel").distinct().collect())  # a name for each judge
@@ -189,3 +197,9 @@ def counts(samples: DataFrame, scores: DataFrame, judgments: DataFrame, votes: D
 def rank_order(df: DataFrame, *cols: str) -> DataFrame:
     """In locale order, as cells are listed."""
     return df.orderBy(*[F.collate(F.col(c), "UNICODE") for c in cols])
+
+
+def ranks(spark: SparkSession, names: list[str]) -> dict[str, int]:
+    """Names of a report with their places in locale order."""
+    rows = rank_order(spark.createDataFrame([(n,) for n in names], "name string"), "name").collect() if names else []
+    return {r["name"]: k for k, r in enumerate(rows)}

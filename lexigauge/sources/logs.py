@@ -25,14 +25,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The records of a log with _seq, their order: the writer's own number where it is written, else file, place in the file, line. A missing log is empty; a broken line is an error."""
+    """The records of a log with _seq, their order: the writer's own number, then the file's time and name, the place in the file, the line.
+
+    Records without a number come before numbered ones. A missing log is empty; a broken line is an error.
+    """
+    order = "struct<n:bigint,t:timestamp,f:string,b:bigint,line:bigint>"
     if not exists(spark, path):
-        return spark.createDataFrame([], f"{schema}, _seq bigint")
+        return spark.createDataFrame([], f"{schema}, _seq {order}")
     df = spark.read.schema(f"{schema}, _seq bigint").option("mode", "FAILFAST").json(path)
-    place = df.select("*", F.struct(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b")).alias("_at"))
-    # ids within a task grow in reading order; with written numbers they only break ties
-    ordered = place.withColumn("_line", F.monotonically_increasing_id())
-    return ordered.withColumn("_seq", F.coalesce("_seq", "_line")).drop("_at", "_line")
+    at = F.col("_metadata")
+    # a block of a file is read by one task, whose ids grow with its lines
+    place = F.struct(F.col("_seq").alias("n"), at["file_modification_time"].alias("t"), at["file_name"].alias("f"), at["file_block_start"].alias("b"), F.monotonically_increasing_id().alias("line"))
+    return df.select("*", place.alias("_place")).withColumn("_seq", F.col("_place")).drop("_place")
 
 
 def append_log(df: DataFrame, path: str, seq: str = "_seq") -> None:
@@ -41,7 +45,7 @@ def append_log(df: DataFrame, path: str, seq: str = "_seq") -> None:
 
 
 def next_seq(log: DataFrame) -> int:
-    return (log.agg(F.max("_seq")).first()[0] or 0) + 1
+    return (log.agg(F.max("_seq.n")).first()[0] or 0) + 1
 
 
 def numbered(df: DataFrame, first: int, *order: str) -> DataFrame:
@@ -51,7 +55,11 @@ def numbered(df: DataFrame, first: int, *order: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    """A snapshot's rows: an object on each line, or one array of objects."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    first = spark.read.text(path).first()
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", first is not None and first[0].lstrip().startswith("[")).json(path)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

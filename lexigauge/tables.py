@@ -14,6 +14,8 @@ def written(df: DataFrame) -> DataFrame:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexigauge-"))
         root = spark.sparkContext.getCheckpointDir()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/lexigauge/{uuid.uuid4().hex}")

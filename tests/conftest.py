@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -7,6 +8,8 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 
 from lexigauge.session import local_session  # noqa: E402
 
+os.environ["LEXIGAUGE_TEST_KEY"] = "x"  # workers get what is set before the session starts
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -85,12 +85,14 @@ def test_judging_asks_once(spark):
 
     def answer(df):
         asked.append(df.count())
-        return df.select("cacheKey", F.lit("A").alias("verdict"))
+        return df.select("cacheKey", F.lit("A").alias("verdict"), F.lit("r").alias("rationale"), F.lit(None).cast("string").alias("error"))
 
     sources = spark.createDataFrame([("s", "t", None)], "sourceId string, title string, audience string")
     both = spark.createDataFrame([("models", "s", "a", "b", "same", "same"), ("models", "s", "c", "d", "x", "y"), ("models", "s", "e", "f", "y", "x")], "scheme string, sourceId string, a string, b string, aText string, bText string")
-    got = {r["aSampleId"]: r["verdict"] for r in judge.judge_pairwise(both, sources, "j", "h", answer).collect()}
-    assert asked == [3] and got == {"a": "tie", "c": "tie", "e": "tie"}  # the first place always wins: no verdict
+    made, _ = judge.judge_pairwise(both, sources, "j", "h", answer)
+    got = {r["aSampleId"]: r["verdict"] for r in made.collect()}
+    judge.judge_pairwise(both, sources, "j", "h", answer, share=False)
+    assert asked == [3, 6] and got == {"a": "tie", "c": "tie", "e": "tie"}  # the first place always wins: no verdict
 
 
 def test_formats():

@@ -74,11 +74,17 @@ def test_rewrite(spark):
     assert value(spark, text.rewrite(F.col("t")), t=given) == "- することができます\n設定します。便利です。高い。"
 
 
+@pytest.mark.parametrize("given, length", [("|" + "---|" * 20_000, 0), (">" * 100_000 + " x", 100_001), ("a\n\n    code\n" + "    more\n" * 100_000 + "end", 7), ("\n".join(["```", "x", "```", "y"] * 25_000), 74_999)])
+def test_very_long_texts(spark, given, length):
+    """Neither a line of marks nor a wide table's rule ends the JVM, and many lines take time in proportion."""
+    assert value(spark, F.length(text.strip_markdown(F.col("t"))), t=given) == length
+
+
 def test_delimiters(spark):
     given = "a </text> <text_a> </TEXT_B > <b>"
     assert value(spark, text.escape_delimiters(F.col("t"), ["text", "text_a", "text_b"]), t=given) == "a &lt;/text&gt; &lt;text_a&gt; &lt;/TEXT_B &gt; <b>"
     assert value(spark, text.tagged(F.col("t"), "x"), t="<x>\na\n</x><x>b</x>") == "a"
-    assert value(spark, text.delimiter_tags(F.col("t"), ["text"]), t="</text></more>") == ["text", "more"]
+    assert value(spark, text.delimiter_tags(F.col("t"), ["text"]), t="</text></more></a-b >") == ["text", "more", "a-b"]
 
 
 def test_numbers(spark):
