@@ -34,6 +34,11 @@ def op4_quotation_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def quotation_of_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 where there is something to link: the given conversations with quotes put into them."""
+    return quotation.format_chats(quotation.with_quotes(read(spark, sf_dir, "conversations")))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
         "op4_quotation_chat": op4_quotation_chat,
+        "quotation_of_replies": quotation_of_replies,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_packing": op6_packing,
         "op7_fingerprints": op7_fingerprints,
@@ -75,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quotation_chat": quotation.SQL, "op5_embedding_near_dedup": embedding_dedup.SQL}
+    return {"op4_quotation_chat": quotation.SQL, "quotation_of_replies": quotation.QUOTED_SQL, "op5_embedding_near_dedup": embedding_dedup.SQL}

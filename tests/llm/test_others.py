@@ -23,7 +23,7 @@ def test_chat(spark):
     assert got[None, 2, "user"]["reply_to"] == 1
     con = duckdb.connect()
     con.register("conversations", df.select("conv_id", "turn", "role", "text").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
-    columns = ["conv_id", "thread_segment", "turn_segment", "n_messages", "n_quotes", "n_linked", "chat"]
+    columns = ["conv_id", "part", "n_messages", "n_quotes", "n_linked", "chat"]
     expected = sorted(map(str, con.execute(f"SELECT {', '.join(columns)} FROM ({quotation.SQL})").fetchall()))
     chats = quotation.format_chats(df)
     assert sorted(str(tuple(r[c] for c in columns)) for r in chats.collect()) == expected
@@ -33,6 +33,53 @@ def test_chat(spark):
     assert quotation.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_by_lines(spark):
+    """Two lines out of a longer paragraph link to the message that has them; lines of two messages do not."""
+    rows = [(1, 0, "a", "one\ntwo\nthree\nfour"), (1, 1, "b", "two\nfive"), (1, 2, "a", "> two\n> three\nyes"), (1, 3, "b", "> five\n> four\nno"), (1, 4, "b", "> TWO\n> five \nagain")]
+    got = {r["turn"]: r["reply_to"] for r in quotation.thread_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: None, 4: 1}  # "three" was last said by the first message, which has "two" as well
+    rows[1] = (1, 1, "b", "five")
+    got = {r["turn"]: r["reply_to"] for r in quotation.thread_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: None, 4: None}
+
+
+@pytest.mark.parametrize("segment", [2, 3, 7, 512])
+def test_chat_order_in_parts(spark, segment):
+    """The parts of a conversation one after the other are the conversation, whatever their size: threads, ties and null turns included."""
+    g = random.Random(3)
+    said = [f"message {k} {g.random()}" for k in range(60)]
+    rows = [(7, k, g.choice(["user", "assistant"]), (f"> {said[g.randrange(k)]}\n" if k and g.random() < 0.6 else "") + said[k]) for k in range(60)]
+    rows += [(7, 11, "user", f"tie {n}") for n in range(9)] + [(7, None, "user", f"no turn {n}") for n in range(9)] + [(8, 0, "x", "y"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r["conv_id"]: r["chat"] for r in quotation.format_chats(df, 10_000).collect()}
+    parts = {}
+    for r in quotation.format_chats(df, segment).orderBy("part").collect():
+        parts.setdefault(r["conv_id"], []).append(r)
+    assert {c: "\n".join(r["chat"] for r in p if r["chat"]) for c, p in parts.items()} == whole
+    assert all(r["part"] == k and (r["n_messages"] == segment or k == len(p) - 1) for p in parts.values() for k, r in enumerate(p))
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert sorted(con.execute(f"SELECT conv_id, chat FROM ({quotation.SQL})").fetchall(), key=str) == sorted(whole.items(), key=str)
+
+
+def test_chat_of_very_long_texts(spark):
+    """Lines of very many marks and messages of very many lines."""
+    rows = [(1, 0, "a", ">" * 100_000 + " deep"), (1, 1, "b", "\n".join(f"{'> ' if k % 2 else ''}line {k}" for k in range(200_000))), (1, 2, "a", "> line 0\nyes")]
+    got = {r["turn"]: r for r in quotation.thread_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[0]["n_quotes"] == 1 and got[0]["body"] == "" and got[1]["n_quotes"] == 100_000 and got[2]["reply_to"] == 1
+
+
+def test_replies_made_of_given_conversations(spark):
+    rows = [(c, k, "u", f"Line {c} {k} a\nline {k} b\nline c") for c in range(5) for k in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    columns = "conv_id, part, n_messages, n_quotes, n_linked, chat"
+    made = quotation.format_chats(quotation.with_quotes(df))
+    got = sorted(tuple(r[c] for c in columns.split(", ")) for r in made.collect())
+    assert got == sorted(con.execute(f"SELECT {columns} FROM ({quotation.QUOTED_SQL})").fetchall()) and sum(r[4] for r in got) == 20
+
+
 def test_chat_runs_no_python(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = quotation.format_chats(df)._jdf.queryExecution().executedPlan().toString()
@@ -122,6 +169,8 @@ PAGES = [
     ("<body><!-- <p>no</p> --><p>&lt;b&gt; &#x41;&eacute;</p><style>p{}</style>", "<b> Aé"),
     ("<div class=header-text>kept</div><div class='cookieNotice'>gone</div>", "kept"),
     ("", ""), (None, ""), ("plain   text", "plain text"), ("<p>" * 5000 + "deep", "deep"), ("<div>" * 3000 + "deep", "deep"),
+    ('<body><div class="content no-sidebar"><p>Real story</p></div>', "Real story"), ("<body id='has-banner'><div id=has-banner>Text</div>", "Text"), ("<body><p>Story here</p><ul class=commentlist><li>Me too, and much longer than the story</ul>", "Story here"),
+    ("<div class='notice-board widget'><p>All the text of the page</p></div><p>x</p>", "All the text of the page\n\nx"), ("</b></i><p>a</p></p></div>b", "a\n\nb"), ("<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table><td>e</table>", "a\n\nb\n\nc\n\nd\n\ne"),
     ("<article><header><h1>Title</h1></header><p>x</p></article><article class=comment><p>c</p></article>", "Title\n\nx"),
 ]
 
@@ -135,14 +184,63 @@ def test_templates(spark):
     """What recurs across a host's pages goes, whatever it is called; what is in an article stays; other hosts do not matter."""
     page = lambda k: f"<body><div><p>Welcome to our site</p><p>Visit us daily</p></div><div><p>Story {k} is about {k * k}.</p></div><div>All rights kept</div></body>"
     rows = [(k, f"http://a.example/{k}", page(k)) for k in range(20)] + [(100, "http://b.example/1", page(7)), (101, None, None), (102, "http://a.example/1", page(1))]
-    rows += [(200 + k, f"http://c.example/{k}", f"<article><p>Same quote</p><p>Own {k}</p></article>") for k in range(20)]
+    rows += [(200 + k, f"http://c.example/{k}", f"<article><p>Own {k}</p><p>Same quote</p><p>More {k}</p></article>") for k in range(20)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
     got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
     assert got[3] == "Story 3 is about 9." and got[102] == got[1] == "Story 1 is about 1."
-    assert got[100].startswith("Welcome") and got[101] == "" and got[205] == "Same quote\n\nOwn 5"
+    assert got[100].startswith("Welcome") and got[101] == "" and got[205] == "Own 5\n\nSame quote\n\nMore 5"
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_templates_inside_articles(spark):
+    """What recurs at the edges of a host's articles goes; a quotation between a page's own words stays, and so does what few pages have."""
+    page = lambda k: f"<article><div><p>Read on our phones</p><p>Every day</p></div><h1>Story {k}</h1><p>Quoted by all</p><p>Words {k}.</p>{'<p>Part of a series.</p>' if k < 4 else ''}<p>Thanks for reading</p></article>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(20)] + [(50, "http://b.example/", page(3))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got[9] == "Story 9\n\nQuoted by all\n\nWords 9." and got[3] == "Story 3\n\nQuoted by all\n\nWords 3.\n\nPart of a series."
+    assert got[50].startswith("Read on") and got[50].endswith("Thanks for reading")
+    bare = sum(html_extract.main_text(h) != got[k] for k, _, h in rows)
+    assert bare == 20  # so many of the 21 texts are what they are through the template
+
+
+def test_pages_without_articles(spark):
+    """Sites of three makes without a single <article> or telling name: menus, headings of the site, notices and footers go by counting; own texts stay whole."""
+    words = "river stone light paper winter garden music silver market bridge".split()
+    own = lambda g: [" ".join(g.choice(words) for _ in range(g.randrange(6, 40))) + f" {g.randrange(10**6)}." for _ in range(g.randrange(2, 6))]
+    makes = (
+        lambda k, t: f"<body><table><tr><td><a href=/>Home</a><br><a href=/n>News of the day</a><td>{''.join(f'<p>{x}' for x in t)}<tr><td colspan=2>Written by the staff of the valley paper</table>",
+        lambda k, t: f"<div><div>The Evening Post</div><div>Today is day {k}</div>{''.join(f'<div>{x}</div>' for x in t)}<div><ul><li>Imprint and contact</li><li>Terms of this site</li></ul></div></div>",
+        lambda k, t: f"<body><center><b>Welcome, dear visitor, to my page</b></center><hr>{'<br><br>'.join(f'<p>{x}</p>' for x in t)}<p>Section {k % 3}: all stories in one place</p><hr><i>Best seen with open eyes</i></body>",
+    )
+    g = random.Random(12)
+    texts, rows = {}, []
+    for h, make in enumerate(makes):
+        for k in range(30):
+            texts[100 * h + k] = own(g)
+            rows.append((100 * h + k, f"https://site{h}.example/{k}", make(k, texts[100 * h + k])))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, t in texts.items():
+        expected = "\n\n".join([*([f"Today is day {k - 100}"] if 100 <= k < 200 else []), *t])
+        assert got[k] == expected
+
+
+def test_names_of_parts(spark):
+    """A name goes where it recurs on its host, whatever it says there; once on a large host it stays."""
+    page = lambda k: f"<body><p>Story {k} of the day, told at length and in full.</p><div class='promo-{k}'>Buy {k}</div>{'<div class=toolbar>My toolbar is a wrench</div>' if k == 7 else ''}</body>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(12)] + [(90, "http://b.example/", page(7))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    story = lambda k: f"Story {k} of the day, told at length and in full."
+    assert got[3] == story(3) and got[7] == story(7) + "\n\nMy toolbar is a wrench" and got[90] == story(7)
+
+
+def test_unmatched_tags_take_time_in_proportion():
+    """200,000 open elements and end tags without a start."""
+    source = "<span>x</p></b>" * 100_000 + "<p>" * 50_000 + "end"
+    assert html_extract.main_text(source).endswith("x\n\nend")
+    assert html_extract.main_text("<ul>" + "<li>" * 100_000 + "a</table></td></tr>" * 50_000).count("a") == 50_000
+
+
 def test_copied_articles_inside_wrappers(spark):
     """An article that many pages of a host carry stays, whatever is around it; a comment's wrapper goes."""
     whole = lambda k: f"<body><p>Menu {k}</p><main><div id=content><article><p>The same story.</p></article></div></main><p>Advert {k}</p></body>"
