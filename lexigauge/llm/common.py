@@ -7,20 +7,23 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows per Arrow batch for columns of whole texts; a batch of long texts stays within a worker's memory.
 TEXT_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset, as in tests, a temporary one is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset and the master is local, as in tests, a temporary one is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lexigauge-"))
     return context.getCheckpointDir()
 
@@ -44,7 +47,9 @@ class Scratch:
     def cut(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Writes df and reads it back."""
         path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
+        # numbers are written plainly: the stronger codec's buffers lie outside the heap, for each column and task
+        plain = all(isinstance(f.dataType, T.NumericType | T.BooleanType) for f in df.schema)
+        df.write.option("compression", "snappy" if plain else "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._path = path
         return out
@@ -71,6 +76,16 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_names(columns: Sequence[str], n: int) -> list[str]:
+    """n names that no column has, whatever the case."""
+    taken, out, k = {c.lower() for c in columns}, [], 0
+    while len(out) < n:
+        if (name := f"_own{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
 def table(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -80,9 +95,10 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most `most` labelled documents outside the held-out fold, chosen by a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, total: int, largest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label) of a bounded sample of labelled documents outside the held-out fold, whole texts in the order of a hash of the id.
 
+    The bounds: `most` labelled ids; of those no text of more than `largest` bytes; and as many as are `total` bytes together.
     Repeated label rows of a document count by their majority (a tie counts as 1), null labels and ids not at all.
     Of documents that share an id one is taken, the one with the smallest text.
     """
@@ -95,9 +111,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
         .orderBy(F.xxhash64("k"), "k")
         .limit(most)
     )
-    texts = docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("k"), text_of(text_col).alias("text")).filter(F.octet_length("text") <= largest)
     # `most` ids and labels: a bounded table
-    return texts.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
+    scratch = Scratch(docs.sparkSession, "sample")
+    found = scratch.cut(texts.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y")), "sample")
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("k"), "k"))
+    fits = found.select("k", F.octet_length("text").cast("long").alias("size")).withColumn("upto", upto).filter(F.col("upto") <= total).select("k")
+    return found.join(F.broadcast(fits), "k").select("text", "y")
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

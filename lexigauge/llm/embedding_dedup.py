@@ -13,9 +13,12 @@ Equal vectors are one entry. Neighbouring lists are put together, and large ones
 pair of blocks with lists that can hold a link is a bounded group, and gives sums and a spanning forest of its links, not
 the links.
 
-Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components, and vectors of another
-dimension than the most frequent one, link with nothing; repeated vectors link with each other; a null id keeps its row
-and is no component's id unless it has no other; extra columns are not read; an empty table gives an empty result.
+Vectors of one dimension are compared with each other; each dimension has an index of its own.
+
+Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components link with nothing; vectors
+of different dimensions do not link; repeated vectors link with each other; a null id keeps its row and is no component's
+id unless it has no other; very long vectors shorten the blocks; extra columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -162,18 +165,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     scratch = Scratch(spark, "embeddings")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     sums = F.expr("aggregate(v, cast(0 as double), (s, x) -> s + x * x)")
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    rows = scratch.cut(rows.withColumn("ok", F.col("ok") & F.coalesce(F.when(F.col("ok"), sums) > 0, F.lit(False))).withColumn("v", F.when(F.col("ok"), F.col("v"))), "vectors")
-    common = rows.filter("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = F.col("ok") & (F.size("v") == common["d"])
+    rows = rows.withColumn("ok", F.col("ok") & F.coalesce(F.when(F.col("ok"), sums) > 0, F.lit(False))).withColumn("v", F.when(F.col("ok"), F.col("v")))
+    # two hashes stand for a vector where rows and vectors meet
+    rows = scratch.cut(rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v"), "d": F.when(F.col("ok"), F.size("v"))}), "vectors")
+    dimensions = sorted(r["d"] for r in rows.filter("ok").select("d").distinct().collect())  # a number for each kind of vector
+    out = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for d in dimensions:
+        some = rows.filter(F.col("d") == d)
+        out = out.unionByName(some.select("vec_id", "h1", "h2").join(classes(scratch, some, d, cosine, sample), ["h1", "h2"]).select("vec_id", "n_links", "component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def classes(scratch: Scratch, rows: DataFrame, dimension: int, cosine: float, sample: int) -> DataFrame:
+    """(h1, h2, n_links, component_id) for the distinct vectors of rows (vec_id, v, h1, h2), which have one dimension."""
+    spark = rows.sparkSession
     # equal vectors are one entry; its key is given as the table is written, and stays
-    distinct = rows.filter(good).groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    distinct = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("key"), "v", "copies", "least"), "distinct")
+    distinct = rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    distinct = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("key"), "h1", "h2", "v", "copies", "least"), "distinct")
     n = distinct.count()
     chosen = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).select("v").toArrow().column("v").combine_chunks()
     chosen = unit(chosen.values.to_numpy(zero_copy_only=False).reshape(len(chosen), -1))
@@ -200,7 +212,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     size, radius = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres))
     for r in coded.groupBy("home").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect():  # a row for each list
         size[r["home"]], radius[r["home"]] = r["n"], r["off"]
-    block = BLOCK * max(1, min(SIDE, 512 // common["d"]))
+    block = BLOCK * max(1, min(SIDE, 512 // dimension))
     # near lists follow one another, and each block of so many places is of a few lists
     order = np.argsort(nearest(index.centres, kmeans(index.centres, max(1, n // block)))[:, 0], kind="stable")
     end = np.cumsum(size[order])
@@ -247,21 +259,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = scratch.cut(dealt.groupBy("i", "j").applyInArrow(search, "a long, b long, n long"), "found")
     counts = found.filter("n is not null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     root = components(scratch, found.filter("b is not null").select("a", "b"))
-    known = distinct.select("key", "v", "copies", "least").join(counts, "key", "left").join(root.withColumnRenamed("node", "key"), "key", "left")
-    known = scratch.cut(known.select("v", F.coalesce("root", "key").alias("root"), "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    known = distinct.select("key", "h1", "h2", "copies", "least").join(counts, "key", "left").join(root.withColumnRenamed("node", "key"), "key", "left")
+    known = scratch.cut(known.select("h1", "h2", F.coalesce("root", "key").alias("root"), "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
     least = scratch.cut(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    classes = scratch.cut(known.join(least, "root").select("v", "n_links", "component_id"), "classes")
-    linked = rows.filter(good).join(classes, "v").select("vec_id", "n_links", "component_id")
-    alone = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return scratch.cut(known.join(least, "root").select("h1", "h2", "n_links", "component_id"), "classes")
 
 
 #: The same by all pairs, in DuckDB's SQL.
 SQL = f"""
 WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 g AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
-d AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM g WHERE len(v) = (SELECT len(v) FROM g GROUP BY len(v) ORDER BY count(*) DESC, len(v) LIMIT 1)),
-l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM d a JOIN d b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.size * b.size) >= {COSINE}),
+d AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM g),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM d a JOIN d b ON a.vec_id <> b.vec_id AND CASE WHEN len(a.v) = len(b.v) THEN list_dot_product(a.v, b.v) / (a.size * b.size) ELSE -1 END >= {COSINE}),
 r AS (SELECT vec_id AS n, vec_id AS m FROM d UNION SELECT r.n, l.y FROM r JOIN l ON r.m = l.x),
 c AS (SELECT n, min(m) AS least FROM r GROUP BY n), k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
 SELECT e.vec_id, coalesce(k.n_links, 0) AS n_links, coalesce(c.least, e.vec_id) AS component_id, coalesce(c.least, e.vec_id) = e.vec_id AS kept

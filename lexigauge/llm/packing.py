@@ -1,31 +1,41 @@
 """Packing by optimal length buckets.
 
-Texts become sequences of at most MAX_TOKENS tokens (a longer text is cut into several, nothing is dropped). The global
-histogram of sequence lengths has at most MAX_TOKENS entries; dynamic programming over it chooses the BUCKETS boundaries
-that minimise padding, when every sequence is padded to its bucket's boundary. Inside a bucket sequences form batches of
-at most `budget` padded tokens.
-
-A token is a run of characters other than white space (space, \\t to \\r); the length can also come from a column.
-
-Batches follow a hash order of the rows. A sequence's place in its bucket is its place in its shard plus the sizes of the
-shards before it, so that a bucket with most of the sequences is dealt over many tasks.
-
-Defined cases: null and empty texts are one sequence of no tokens, in the first bucket; repeated rows are sequences of
-their own; null ids stay; extra columns are not read; an empty table gives an empty result.
+Texts become sequences of at most MAX_TOKENS tokens; a longer text is cut into several before every MAX_TOKENS-th token,
+so that the sequences of a text one after the other are the text, and nothing is dropped. The global histogram of
+sequence lengths has at most MAX_TOKENS + 1 entries; dynamic programming over it chooses the BUCKETS boundaries that
+minimise padding, when every sequence is padded to its bucket's boundary. Inside a bucket sequences form batches of at
+most `budget` padded tokens, and each row has its sequence's text, so a batch can be read as it is.
+
+A token is a run of bytes other than ASCII white space; another tokenizer can be given as a function from a text to the
+places where its tokens begin.
+
+Batches follow a hash order of what is packed: id, sequence, text and, of equal rows, the copy's number. So the result is
+the same however the input is spread, and equal rows, hot or not, are spread too. A sequence's place in its bucket is its
+place in its shard plus the sizes of the shards before it, so that a bucket with most of the sequences is dealt over many
+tasks.
+
+Defined cases: null and empty texts are one empty sequence of no tokens, in the first bucket; very long texts are cut as
+above; repeated rows are sequences of their own, with equal columns but for batch and slot; null ids stay; extra columns
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches, text_of
 
 MAX_TOKENS = 2048
 BUCKETS = 12
 BUDGET = 32_768
-SHARD = 50_000
+#: Sequences of all buckets that are numbered in one task, with their texts.
+SHARD = 10_000
 
 
 def boundaries(counts: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -69,23 +79,51 @@ def padding(counts: dict[int, int], ends: list[int]) -> int:
     return int(sum((ends[i] - n) * c for i, (n, c) in zip(at, counts.items())))
 
 
-def token_count(text: str = "text") -> Column:
-    """Runs of characters other than white space."""
-    return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
+TOKEN = re.compile(r"[^ \t-\r]+")
+
+
+def white_space_tokens(text: str) -> list[int]:
+    """Where the runs of characters other than ASCII white space begin."""
+    return [m.start() for m in TOKEN.finditer(text)]
+
+
+def sequences(text: str, max_tokens: int = MAX_TOKENS, tokens: Callable[[str], Sequence[int]] | None = None) -> list[tuple[int, int, int]]:
+    """(tokens, begin, end) of each sequence of a text, in code points; together they cover it."""
+    if tokens is None:
+        n = len(text.encode("utf-8", "replace").split())  # most texts are one sequence
+        if n <= max_tokens:
+            return [(n, 0, len(text))]
+        tokens = white_space_tokens
+    at = tokens(text)
+    cuts = [0, *at[max_tokens::max_tokens], len(text)]
+    return [(min(max_tokens, len(at) - k * max_tokens), a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, shard: int = SHARD) -> DataFrame:
-    """(doc_id, piece, n_tokens, bucket_len, batch_id, slot, padding): a row for each sequence.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[str], Sequence[int]] | None = None, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, shard: int = SHARD) -> DataFrame:
+    """(doc_id, piece, n_tokens, begin, end, bucket_len, batch_id, slot, padding, text): a row for each sequence.
 
-    piece counts the sequences of a document; batch_id is "<bucket_len>-<number>"; slot is the place in the batch.
+    piece counts the sequences of a document, which are its text from begin to end, in code points; batch_id is
+    "<bucket_len>-<number>"; slot is the place in the batch.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
-    total = token_count(text_col) if length is None else length
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(total.cast("long"), F.lit(0)), F.lit(0)).alias("total"))
-    pieces = F.greatest(F.ceil(F.col("total") / max_tokens).cast("int"), F.lit(1))
-    rows = rows.select("doc_id", "total", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    rows = rows.select("doc_id", "piece", F.least(F.col("total") - F.col("piece").cast("long") * max_tokens, F.lit(max_tokens)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", "piece").alias("h"))
-    rows = scratch.cut(rows, "sequences")
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "packing")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text")).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, piece, n, begin, end, text = [], [], [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for k, (count, x, y) in enumerate(sequences(t, max_tokens, tokens)):
+                    of.append(i), piece.append(k), n.append(count), begin.append(x), end.append(y)
+                    text.append(t[x:y])
+            made = [b.column(0).take(pa.array(of, pa.int64())), b.column(2).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(n, pa.int64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "copies", "piece", "n_tokens", "begin", "end", "text"])
+
+    rows = rows.select("doc_id", "text", "copies").mapInArrow(cut, f"doc_id {kind}, copies long, piece int, n_tokens long, begin long, end long, text string")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    rows = scratch.cut(rows.withColumn("h", F.xxhash64("doc_id", "piece", "text", "copy")), "sequences")
     counts = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}  # at most max_tokens + 1 rows
     ends = boundaries(counts, buckets)
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(e)) for e in ends]) if ends else F.lit(0)
@@ -95,15 +133,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     before = Window.partitionBy("bucket_len").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # a number for each shard and bucket
     offsets = scratch.cut(sizes.select("bucket_len", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
-    local = Window.partitionBy("bucket_len", "shard").orderBy("h", "doc_id", "piece")
+    local = Window.partitionBy("bucket_len", "shard").orderBy("h", "doc_id", "piece", "copy")
     placed = rows.join(offsets, ["bucket_len", "shard"]).withColumn("place", F.col("offset") + F.row_number().over(local) - 1)
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))))
     return placed.select(
         "doc_id",
         "piece",
         "n_tokens",
+        "begin",
+        "end",
         "bucket_len",
         F.concat(F.col("bucket_len").cast("string"), F.lit("-"), F.floor(F.col("place") / room).cast("string")).alias("batch_id"),
         F.pmod(F.col("place"), room).cast("int").alias("slot"),
         (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+        "text",
     )

@@ -6,12 +6,16 @@ primes (about 2^61 together) make chance equality negligible. Longest common ext
 span equality.
 
 A fingerprint is the hash of the whole text followed by a sketch of its spans of 16 code points (4 in a text under 64
-code points, 2 under 16), the k-th time that a span comes counting as a span of its own: their hashes are dealt over
-SLOTS slots and each slot keeps 16 bits of its least one. The share of slots that two sketches agree on estimates the
-likeness of their bags of spans. Equal texts have equal fingerprints.
+code points, 2 under 16), the k-th time that a span comes counting as a span of its own: their hashes, modulo both
+primes, are dealt over SLOTS slots and each slot keeps 16 bits of its least one. The share of slots that two sketches
+agree on estimates the likeness of their bags of spans. Equal texts have equal fingerprints.
 
-Defined cases: null texts are empty; an empty text has an empty sketch and is like an empty text only; extra columns are
-not read; an empty table gives an empty result. See edits() for ties.
+What two texts have in common at their beginning and at their end is found by longest extensions, without comparing code
+points: edits() gives both for a text and its edited version, and whether the span equality of the prefix arrays says
+that the part before the edit is the same.
+
+Defined cases: null texts are empty; an empty text has an empty sketch and is like an empty text only; very long texts
+are read whole; extra columns are not read; an empty table gives an empty result. See edits() for ties.
 """
 
 from __future__ import annotations
@@ -94,26 +98,33 @@ class Prefixes:
                 high = middle - 1
         return low
 
+    def common_end(self, other: Prefixes) -> int:
+        """The longest common extension backwards from both ends, by binary search."""
+        low, high = 0, min(len(self), len(other))
+        while low < high:
+            middle = (low + high + 1) // 2
+            if self.equal(len(self) - middle, other, len(other) - middle, middle):
+                low = middle
+            else:
+                high = middle - 1
+        return low
+
     def whole(self) -> int:
         """62 bits of the whole text and its length's effect."""
         a, b = (int(x[-1]) for x in self.arrays)
         return (a << 31 | b) ^ (len(self) * 0x9E3779B97F4A7C15 & 0x3FFFFFFFFFFFFFFF)
 
     def spans(self, n: int) -> np.ndarray:
-        """Hashes of all spans of n code points, each brought to the power of the last place."""
+        """62-bit hashes of all spans of n code points: those modulo both primes, brought to the power of place 0, so that texts of different lengths compare."""
         size = len(self)
-        if size == 0:
-            return np.empty(0, np.uint64)
         n = min(n, size)
-        prime = np.uint64(PRIMES[0])
-        p = self.arrays[0]
-        return (p[n:] + prime - p[:-n]) % prime * powers(0, size)[size - n :: -1][: size - n + 1] % prime
-
-
-def at_common_power(spans: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Span hashes of a text brought from its own last place to place 0, so that texts of different lengths compare."""
-    back = pow(pow(BASES[0], -1, PRIMES[0]), size - n, PRIMES[0])
-    return spans * np.uint64(back) % np.uint64(PRIMES[0])
+        out = np.zeros(size - n + 1 if size else 0, np.uint64)
+        for k, prime in enumerate(PRIMES if size else ()):
+            m, p = np.uint64(prime), self.arrays[k]
+            back = np.uint64(pow(pow(BASES[k], -1, prime), size - n, prime))
+            at_last = (p[n:] + m - p[:-n]) % m * powers(k, size)[size - n :: -1][: size - n + 1] % m
+            out = out << np.uint64(31) | at_last * back % m
+        return out
 
 
 def sketch(text: Prefixes) -> np.ndarray:
@@ -123,10 +134,10 @@ def sketch(text: Prefixes) -> np.ndarray:
     out = np.full(SLOTS, EMPTY, np.uint16)
     if size == 0:
         return out
-    h = np.sort(at_common_power(text.spans(n), size, min(n, size)))
+    h = np.sort(text.spans(n))
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    h += (np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))).astype(np.uint64) << np.uint64(31)
-    h = h * np.uint64(0x9E3779B97F4A7C15)
+    nth = (np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))).astype(np.uint64)
+    h = (h + nth * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     slot = (h >> np.uint64(57)).astype(np.int64)
@@ -139,7 +150,10 @@ def sketch(text: Prefixes) -> np.ndarray:
 
 def fingerprint(text: str) -> tuple[str, np.ndarray]:
     """(the fingerprint as hex digits, its sketch)."""
-    p = Prefixes(text)
+    return fingerprint_of(Prefixes(text))
+
+
+def fingerprint_of(p: Prefixes) -> tuple[str, np.ndarray]:
     s = sketch(p)
     return f"{p.whole():016x}" + s.astype(">u2").tobytes().hex(), s
 
@@ -178,46 +192,63 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = 2000) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, same_before, same_at_begin, same_at_end) for every row.
+
+    Rows follow one another by descending id, null ids last, rows of one id by descending hash of their text; after the
+    last row comes the first. The order is cut into ranges of about per_range rows, so texts move once; each range also
+    gets a copy of the first row of the next one. An id that fills ranges by itself, and rows without an id, are cut by
+    the hashes of their texts; only rows that are alike in both stay together, and are read one by one. Beyond
+    MOST_RANGES ranges these get longer: a range is sorted, spilling, and streamed.
 
-    Rows follow one another by descending id, null ids last, rows of one id by descending text; after the last row
-    comes the first. The order is cut into ranges of ids of about per_range rows, so texts move once; each range also
-    gets a copy of the first row of the next one. Rows of one id are in one range.
+    same_before: whether the text and its edited version are equal up to the edit, by their prefix arrays; same_at_begin
+    and same_at_end: how many code points they share there, by longest extensions.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "edits")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    count = docs.count()
-    cuts = max(1, min(count // per_range, MOST_RANGES))
-    marks = rows.select(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)] or [0.5], 10 * max(cuts, 100)).alias("m")) if count else None
-    # range 0 has the largest ids; a null id goes behind all
-    found = sorted(set(marks.first()["m"] or [])) if marks is not None else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    sizes = docs.agg(F.count("*").alias("n"), F.count_if(F.col(f"`{id_col}`").isNull()).alias("none")).first()
+    cuts = max(1, min(sizes["n"] // per_range, MOST_RANGES))
+    marks = list(rows.select(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)] or [0.5], 10 * max(cuts, 100)).alias("m")).first()["m"] or []) if sizes["n"] else []
+    often = {m: marks.count(m) for m in set(marks) if marks.count(m) > 1}
+    # range 0 has the largest ids; a null id goes behind all; an id that is a mark more than once has a range of its own
+    found = sorted({*marks, *(m + 1 for m in often)})
     edges = spark.createDataFrame([(found,)], "edges array<long>")
     below = "(s.lo + s.hi) div 2"
     step = f"if(s.lo >= s.hi, s, if(get(edges, cast({below} as int)) <= doc_id, named_struct('lo', {below} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {below})))"
     from_last = (F.size("edges") - F.expr(f"aggregate(sequence(1, 16), named_struct('lo', 0L, 'hi', cast(size(edges) as bigint)), (s, n) -> {step}).lo")).cast("int")
     ranged = rows.crossJoin(F.broadcast(edges)).withColumn("range", F.when(F.col("doc_id").isNull(), F.size("edges") + 1).otherwise(from_last)).drop("edges")  # one row of marks
-    firsts = scratch.cut(ranged.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "text")).alias("r")).select("range", "r.doc_id", "r.text"), "firsts")
+    slices = {len(found) - found.index(m) - 1: n + 1 for m, n in often.items()} | {len(found) + 1: sizes["none"] // per_range + 1}
+    many = spark.createDataFrame([(r, min(n, MOST_RANGES)) for r, n in slices.items()], "range int, slices int")  # a row for each mark that came twice
+    upper = F.shiftrightunsigned(F.col("th").bitwiseXOR(F.lit(-(1 << 63))), 32)  # grows with the hash
+    part = F.shiftrightunsigned((F.lit((1 << 32) - 1) - upper) * F.col("slices"), 32)
+    ranged = ranged.join(F.broadcast(many), "range", "left").withColumn("range", F.col("range").cast("long") * MOST_RANGES + F.when(F.col("slices") > 1, part).otherwise(0)).drop("slices")
+    firsts = scratch.cut(ranged.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "th", "text")).alias("r")).select("range", "r.doc_id", "r.text", "r.th"), "firsts")
     order = sorted(r["range"] for r in firsts.select("range").collect())  # one number for each range
-    before = spark.createDataFrame([(b, a) for a, b in zip(order, order[1:] + order[:1])], "range int, previous int")
-    copies = firsts.join(F.broadcast(before), "range").select(F.col("doc_id"), F.col("text"), F.col("previous").alias("range"), F.lit(1).alias("copy"))
-    parts = ranged.select("doc_id", "text", "range", F.lit(0).alias("copy")).unionByName(copies)
-    parts = parts.repartition("range").sortWithinPartitions("range", "copy", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    before = spark.createDataFrame([(b, a) for a, b in zip(order, order[1:] + order[:1])], "range long, previous long")
+    copies = firsts.join(F.broadcast(before), "range").select("doc_id", "text", "th", F.col("previous").alias("range"), F.lit(1).alias("copy"))
+    parts = ranged.select("doc_id", "text", "th", "range", F.lit(0).alias("copy")).unionByName(copies)
+    parts = parts.repartition("range").sortWithinPartitions("range", "copy", F.col("doc_id").desc_nulls_last(), F.col("th").desc(), F.col("text").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row whose following one is not read yet
         for b in batches:
             out: list[tuple] = []
-            for doc_id, text, copy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
-                fp, s = fingerprint(text)
+            for doc_id, text, copy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
+                p = Prefixes(text)
+                fp, s = fingerprint_of(p)
                 if held is not None:
-                    i, t, f, sk = held
+                    i, t, f, sk, own = held
                     e = edited(t, text)
-                    ef, es = fingerprint(e)
-                    out.append((i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f, ef, likeness(f, ef, sk, es), likeness(f, fp, sk, s)))
-                held = None if copy else (doc_id, text, fp, s)
+                    changed = Prefixes(e)
+                    ef, es = fingerprint_of(changed)
+                    same = own.equal(0, changed, 0, len(t) - len(t) // 3)
+                    begin = own.common(0, changed, 0)
+                    out.append((i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f, ef, likeness(f, ef, sk, es), likeness(f, fp, sk, s), same, begin, min(own.common_end(changed), len(t) - begin) if begin < len(t) else 0))
+                held = None if copy else (doc_id, text, fp, s, p)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_before", "same_at_begin", "same_at_end"])
 
-    return parts.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_before boolean, same_at_begin long, same_at_end long"
+    return parts.mapInArrow(run, schema)

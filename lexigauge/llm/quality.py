@@ -3,12 +3,12 @@
 A document is a bag of passages of PASSAGE bytes. Each passage is encoded from its byte frequencies and word statistics;
 gated attention weighs the passages; the weighted representation gives the score. Only documents have labels: the
 attention learns from them which passages tell. The network is trained in numpy on a bounded sample of labelled rows
-outside the held-out fold (SAMPLE documents; of a longer training document TRAIN_PASSAGES evenly spaced passages), and
-scores every passage of every text.
+outside the held-out fold, and every passage of a training document is learned from: at most SAMPLE documents that are
+SAMPLE_BYTES together, none of more than LARGEST bytes. It scores every passage of every text.
 
 Labels, language, source and id are no inputs. Training is repeatable: sample, order and first weights are fixed.
 
-Defined cases: null texts are empty; an empty text is one passage without bytes and gets that passage's score; repeated
+Defined cases: null texts are empty; very long texts are scored whole, in blocks; an empty text is one passage without bytes and gets that passage's score; repeated
 rows keep a row each; null ids are not held out and not learnt from; without labels of both kinds every score is the
 share of 1 among the labels (0.5 without any); extra columns are not read; an empty table gives an empty result.
 """
@@ -26,7 +26,7 @@ from .common import held_out, small_batches, text_of, training_rows
 
 PASSAGE = 1000
 SAMPLE = 4000
-TRAIN_PASSAGES = 64
+SAMPLE_BYTES, LARGEST = 48 << 20, 2 << 20
 THRESHOLD = 0.3
 HIDDEN, ATTENTION = 24, 12
 STATS = 6
@@ -131,8 +131,8 @@ class Attention:
         return {k: v + decay * p[k] for k, v in g.items()}
 
     def fit(self, x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.01, batch: int = 64, decay: float = 1e-4) -> None:
-        self.mean, self.std = x.mean(0), x.std(0) + 0.02
-        x = (x - self.mean) / self.std
+        """x may be half floats: it is standardised batch by batch."""
+        self.mean, self.std = x.mean(0, dtype=np.float64).astype(np.float32), x.std(0, dtype=np.float64).astype(np.float32) + np.float32(0.02)
         ends = np.append(at[1:], len(x))
         g = np.random.default_rng(11)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -144,7 +144,7 @@ class Attention:
             for i in range(0, len(order), batch):
                 some = order[i : i + batch]
                 rows = np.concatenate([np.arange(at[k], ends[k]) for k in some])
-                grad = self.step(x[rows], np.concatenate(([0], np.cumsum(ends[some] - at[some])[:-1])), y[some], decay)
+                grad = self.step((x[rows] - self.mean) / self.std, np.concatenate(([0], np.cumsum(ends[some] - at[some])[:-1])), y[some], decay)
                 n += 1
                 for k in self.p:
                     m[k] = 0.9 * m[k] + 0.1 * grad[k]
@@ -181,19 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
-                t = t.encode("utf-8", "replace")
-                starts = range(0, max(len(t), 1), PASSAGE)
-                if len(starts) > TRAIN_PASSAGES:
-                    starts = [starts[int(i)] for i in np.linspace(0, len(starts) - 1, TRAIN_PASSAGES)]
-                parts = [t[i : i + PASSAGE] for i in starts]
-                out.append(features(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts])).tobytes())
+                out.append(b"".join(features(data, sizes).astype(np.float16).tobytes() for data, sizes, _ in bags([t.encode("utf-8", "replace")])))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1)], names=["x", "y"])
 
-    rows = training_rows(docs, labels, label, sample, id_col, text_col).mapInArrow(run, "x binary, y int").orderBy(F.xxhash64("x"), "y").collect()
-    y = np.array([r.y for r in rows], np.float32)
+    rows = training_rows(docs, labels, label, sample, SAMPLE_BYTES, LARGEST, id_col, text_col).mapInArrow(run, "x binary, y int").orderBy(F.xxhash64("x"), "y").toArrow()
+    y = rows.column("y").to_numpy().astype(np.float32)
     if len(y) == 0 or y.min() == y.max():
         return Constant(float(y.mean()) if len(y) else 0.5)
-    parts = [np.frombuffer(r.x, np.float32).reshape(-1, 256 + STATS) for r in rows]
+    parts = [np.frombuffer(x.as_buffer(), np.float16).reshape(-1, 256 + STATS) for c in rows.column("x").chunks for x in c]
     model = Attention(256 + STATS)
     model.fit(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])), y)
     return model

@@ -9,8 +9,8 @@ once it is reached: copies by the thousand cost a row each, not a row for each p
 fingerprints share goes to a second level, cut again by variants of the other segment's 16-bit halves; 18 free bits
 remain there, so no group can exceed 262,144 entries whatever the data.
 
-Defined cases: null texts are empty; an empty text has fingerprint zero and links like any other; repeated rows and
-repeated ids keep a row each; a null id keeps its row and never becomes a component's id unless it has no other (then
+Defined cases: null texts are empty; an empty text has fingerprint zero and links like any other; very long texts are
+hashed whole, in blocks; repeated rows and repeated ids keep a row each; a null id keeps its row and never becomes a component's id unless it has no other (then
 null); extra columns are not read; an empty table gives an empty result.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, small_batches, table, text_of
+from .common import Scratch, components, free_names, small_batches, table, text_of
 
 DISTANCE = 3
 SEED = 42
@@ -166,7 +166,9 @@ def links(scratch: Scratch, distinct: DataFrame, crowded: int = CROWDED) -> Data
     spark = distinct.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))
     schema = "kind int, a long, b long"
-    index = distinct.select(F.explode(one_wildcard()).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    # spread first: each row becomes 64
+    spread = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = spread.select(F.explode(one_wildcard()).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     found = scratch.cut(index.mapInArrow(link_sorted(crowded), schema), "found")
     out = found.filter("kind = 0").select("a", "b")
     crowd = found.filter("kind = 1")
@@ -217,14 +219,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, crowded: int = CROWDED) -> DataFrame:
-    """The rows of docs, whole and with their columns, one for each component: of its smallest id, and of that id's rows the one with the least hash of all columns."""
+    """The rows of docs, whole and with their columns, one for each component of near_duplicates(); see best_rows()."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    row = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)])
-    fps = scratch.cut(fingerprints(docs, id_col, text_col, words, row), "fingerprints")
-    best = fps.join(classes(scratch, fps, crowded).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"))
-    best = scratch.cut(best.select(F.col("b.doc_id").alias("best_id"), F.col("b.row").alias("best_row")), "best")
-    marked = docs.withColumn("best_row_of", row)
-    found = marked.join(best, (F.col("best_row_of") == F.col("best_row")) & F.col(f"`{id_col}`").eqNullSafe(F.col("best_id")), "left_semi")
+    fps = scratch.cut(fingerprints(docs, id_col, text_col, words, row_hash(docs)), "fingerprints")
+    return best_rows(scratch, docs, fps, classes(scratch, fps, crowded), id_col)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)])
+
+
+def best_rows(scratch: Scratch, docs: DataFrame, fps: DataFrame, rooted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of docs for each root: of its smallest id, and of that id's rows the one with the least hash of all columns. fps: (doc_id, row, fp); rooted: (fp, root)."""
+    row, best_id, best_row, number = free_names(docs.columns, 4)
+    best = fps.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("b"))
+    best = scratch.cut(best.select(F.col("b.doc_id").alias(best_id), F.col("b.row").alias(best_row)), "best")
+    found = docs.withColumn(row, row_hash(docs)).join(best, (F.col(row) == F.col(best_row)) & F.col(f"`{id_col}`").eqNullSafe(F.col(best_id)), "left_semi")
     # rows that are equal in every column are still one row
-    number = F.row_number().over(Window.partitionBy("best_row_of", F.col(f"`{id_col}`")).orderBy(F.lit(0)))
-    return found.withColumn("best_number", number).filter("best_number = 1").drop("best_row_of", "best_number")
+    nth = F.row_number().over(Window.partitionBy(row, F.col(f"`{id_col}`")).orderBy(F.lit(0)))
+    return found.withColumn(number, nth).filter(F.col(number) == 1).drop(row, number)

@@ -13,20 +13,21 @@ are texts of another round, cut by the leading grams of another order, in which
 last: what differs in the strings then leads, so that they fall to other shards, and what is common to all becomes one
 piece. Which grams come last is found in samples; equal strings have equal leading grams whatever is chosen. After LEVELS
 rounds there are more only while each halves what is crowded; strings that consist of common grams alone can stay
-crowded, and are sorted in one shard.
+crowded, and are sorted in one shard, whose text, numbers and tuples are on disk however large it is.
 
 Distinct texts are worked on once, in a table bucketed by the text's hash, so that texts move once.
 
-Defined cases: null and empty texts have no bytes and nothing to remove; a text shorter than LENGTH keeps all; repeated
+Defined cases: null and empty texts have no bytes and nothing to remove; a text shorter than LENGTH keeps all; very long
+texts are cut to pieces like others; repeated
 rows each lose what they share; ids, null or not, are only carried along; extra columns stay in keep() and are not read
 in digest(); an empty table gives an empty result. Removal can leave a part of a character; keep() drops such bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, text_of
+from .common import Scratch, free_names, small_batches, text_of
 from .induced_sort import Disk, repeats
 
 LENGTH = 200
@@ -124,25 +125,55 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def shard_repeats(texts: list[bytes], length: int, disk: Disk | None = None) -> list[list[tuple[int, int]]]:
-    """For each of some pieces the ranges [a, b) of its strings that another string of the shard equals."""
-    sizes = np.array([len(t) for t in texts])
-    ends = np.cumsum(sizes + 1)
-    text = np.zeros(int(ends[-1]), np.uint8)
-    inside = np.ones(len(text), bool)
-    inside[ends - 1] = False
-    text[inside] = np.frombuffer(b"".join(texts), np.uint8) + 1  # UTF-8 has no byte over 0xF4
-    hit = repeats(text, length, disk)
-    out = []
-    for a, n in zip((ends - sizes - 1).tolist(), sizes.tolist()):
-        row = hit[a : a + max(0, n - length + 1)]
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], row.view(np.int8), [0]))))
-        out.append([(int(x), int(y)) for x, y in zip(edge[::2], edge[1::2])])
-    return out
+class Shard:
+    """Pieces that are sorted together: their bytes and numbers, in files once they are many."""
+
+    def __init__(self, disk: Disk, numbers: int):
+        self.disk, self.numbers = disk, numbers
+        self.kept = [bytearray(), bytearray()]
+        self.files: list = [None, None]
+        self.size = 0
+
+    def add(self, data: bytes, *numbers: int) -> None:
+        self.size += len(data)
+        # UTF-8 has no byte over 0xF4, and 0 ends a piece
+        self.write(0, data.translate(_ONE_MORE) + b"\0")
+        self.write(1, np.array([len(data), *numbers], np.int64).tobytes())
+
+    def write(self, k: int, data: bytes) -> None:
+        if self.files[k] is None:
+            self.kept[k] += data
+            if len(self.kept[k]) > 4 * self.disk.memory:
+                self.files[k] = open(self.disk.path(), "w+b")
+                self.files[k].write(self.kept[k])
+                self.kept[k] = bytearray()
+        else:
+            self.files[k].write(data)
+
+    def array(self, k: int, kind) -> np.ndarray:
+        if self.files[k] is None:
+            return np.frombuffer(self.kept[k], kind)
+        self.files[k].close()
+        return np.memmap(self.files[k].name, kind, "r")
+
+    def repeats(self, length: int) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
+        """For each piece its numbers and the ranges [a, b) of its strings that another string of the shard equals."""
+        hit = repeats(self.array(0, np.uint8), length, self.disk)
+        rows = self.array(1, np.int64).reshape(-1, 1 + self.numbers)
+        at = 0
+        for k in range(0, len(rows), 4096):
+            for size, *numbers in np.asarray(rows[k : k + 4096]).tolist():
+                row = hit[at : at + max(0, size - length + 1)]
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], row.view(np.int8), [0])))).tolist() if row.any() else []
+                yield numbers, list(zip(edge[::2], edge[1::2]))
+                at += size + 1
+
+
+_ONE_MORE = bytes((b + 1) % 256 for b in range(256))
 
 
-def distinct_texts(scratch: Scratch, docs: DataFrame, text_col: str) -> DataFrame:
-    """(tk, copies, text) bucketed by tk, the first 16 bytes of the text's SHA-256."""
+def distinct_texts(scratch: Scratch, docs: DataFrame, text_col: str) -> tuple[str, DataFrame]:
+    """A table's name and its rows (tk, copies, text), bucketed by tk, the first 16 bytes of the text's SHA-256. The caller drops it."""
     spark = docs.sparkSession
     rows = docs.select(text_of(text_col).alias("text")).select(text_key().alias("tk"), "text")
     found = rows.groupBy("tk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -150,7 +181,7 @@ def distinct_texts(scratch: Scratch, docs: DataFrame, text_col: str) -> DataFram
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found.write.format("parquet").option("path", scratch.path("texts")).option("compression", "zstd").bucketBy(buckets, "tk").saveAsTable(name)
     scratch.free()
-    return spark.table(name)
+    return name, spark.table(name)
 
 
 def text_key(column: str = "text"):
@@ -193,13 +224,18 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
                 )
 
     rows = scratch.cut(texts.select("tk", "copies", "text").mapInArrow(cut_pieces, "tk binary, copies long, gram long, body long, start int, number int"), "pieces")
-    # written first: then the join deals both sides anew, and a gram that a third of the pieces have can be split
-    grams = scratch.cut(rows.groupBy("gram").agg(F.sum("copies").alias("n"), (F.min("body") != F.max("body")).alias("mixed")).filter("n > 1").select("gram", "mixed"), "grams")
-    looked_at = scratch.cut(rows.join(grams, "gram"), "looked_at")
-    scratch.drop(rows, grams)
-    # pieces with equal bytes are one; where all pieces of a gram are alike there is nothing to sort
-    mixed = looked_at.filter("mixed")
-    kinds = scratch.cut(mixed.groupBy("gram", "body").agg(F.sum("copies").alias("n"), F.min(F.struct("tk", "start", "number")).alias("one")), "kinds")
+    # how often each kind of piece comes, and whether its gram has others; grams that come once need no look
+    each = rows.groupBy("gram", "body").agg(F.sum("copies").alias("n"))
+    grams = each.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
+    # written first: then the join deals both sides anew, and a kind that a third of the pieces are can be split
+    known = scratch.cut(each.join(grams, "gram").select("gram", "body", "n", (F.col("kinds") > 1).alias("mixed")), "known")
+    looked_at = scratch.cut(rows.join(known, ["gram", "body"]), "looked_at")
+    scratch.drop(rows, known)
+    # pieces with equal bytes are one, and known as repeated by now; where all pieces of a gram are alike there is nothing to sort
+    alike, single = looked_at.filter("n > 1"), looked_at.filter("mixed and n = 1")
+    place = F.struct("tk", "start", "number")
+    kinds = alike.filter("mixed").groupBy("gram", "body").agg(F.first("n").alias("n"), F.min(place).alias("one"))
+    kinds = scratch.cut(kinds.unionByName(single.select("gram", "body", "n", place.alias("one"))), "kinds")
     hot = scratch.cut(kinds.groupBy("gram").agg(F.count("*").alias("many")).filter(F.col("many") > crowded), "crowded")
     still = hot.agg(F.sum("many")).first()[0] or 0
     if not still or level >= LEVELS and 2 * still > before:
@@ -229,30 +265,31 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), gram, np.int64)), pa.array(h.view(np.int64))], names=["gram", "h"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            with Disk() as disk:
-                found = shard_repeats([x[3] for x in held], length, disk)
-            some = [(x[0], x[1], [{"a": a, "b": b + length - 1} for a, b in f]) for x, f in zip(held, found) if f and x[2] < 2]
+        def found(held: Shard) -> Iterator[pa.RecordBatch]:
+            some = ((gram, body, [{"a": a, "b": b + length - 1} for a, b in spans]) for (gram, body, n), spans in held.repeats(length) if spans and n < 2)
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array([s[0] for s in some], pa.int64()), pa.array([s[1] for s in some], pa.int64()), pa.array([s[2] for s in some], kind)], names=["gram", "body", "found"])
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if size >= shard and row[0] != held[-1][0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield flush()
+            while rows := list(islice(some, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kind)], names=["gram", "body", "found"])
+
+        disk, held, last = Disk(), None, None
+        try:
+            for b in batches:
+                for gram, body, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                    if held is not None and held.size >= shard and gram != last:
+                        yield from found(held)
+                        disk.close()
+                        disk, held = Disk(), None
+                    held = held or Shard(disk, 3)
+                    held.add(data, gram, body, n)
+                    last = gram
+            if held is not None:
+                yield from found(held)
+        finally:
+            disk.close()
 
     dealt = fetched(kinds if hot is None else kinds.join(hot, "gram", "left_anti")).repartition("gram").sortWithinPartitions("gram")
     told = scratch.cut(dealt.mapInArrow(sort, f"gram long, body long, found {FOUND}"), "sorted")
-    known = kinds.filter("n > 1").select("gram", "body", F.lit(None).cast(FOUND).alias("found"))
-    verdict = known.unionByName(told)
+    verdict = told
     if hot is not None:
         key = F.unhex(F.concat(F.lpad(F.hex("gram"), 16, "0"), F.lpad(F.hex("body"), 16, "0")))
         again = scratch.cut(fetched(kinds.join(hot, "gram", "left_semi")).select("gram", "body", key.alias("tk"), F.col("n").alias("copies"), F.col("data").alias("text")), "again")
@@ -264,22 +301,16 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
         deeper = repeated_spans(scratch, again.select("tk", "copies", "text"), length, shard, crowded, level + 1, later, still)
         verdict = verdict.unionByName(again.filter("copies < 2").select("gram", "body", "tk").join(deeper, "tk").select("gram", "body", F.col("spans").alias("found")))
     verdict = scratch.cut(verdict, "verdict")
-    part = mixed.join(verdict, ["gram", "body"]).select("tk", "start", "number", "found")
-    whole = looked_at.filter("not mixed").select("tk", "start", "number", F.lit(None).cast(FOUND).alias("found"))
-    spans = part.unionByName(whole).select(
-        "tk",
-        F.explode(F.when(F.col("found").isNull(), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("number") + length - 1).alias("b")))).otherwise(F.transform("found", lambda f: F.struct((F.col("start") + f["a"]).alias("a"), (F.col("start") + f["b"]).alias("b"))))).alias("s"),
-    )
+    # only pieces that come once need what the sorting found in them
+    found = single.join(verdict, ["gram", "body"]).select("tk", F.explode("found").alias("f"), "start").select("tk", F.struct((F.col("start") + F.col("f.a")).alias("a"), (F.col("start") + F.col("f.b")).alias("b")).alias("s"))
+    spans = alike.select("tk", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("number") + length - 1).alias("b")).alias("s")).unionByName(found)
     out = scratch.cut(spans.groupBy("tk").agg(F.collect_list("s").alias("spans")), "spans")
     scratch.drop(looked_at, kinds, told, verdict)
     return out
 
 
-def kept(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED) -> DataFrame:
-    """(tk, n_bytes, n_removed, n_spans, kept) for each distinct text: its remaining bytes."""
-    small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    texts = distinct_texts(scratch, docs, text_col)
+def kept(scratch: Scratch, texts: DataFrame, length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED) -> DataFrame:
+    """(tk, n_bytes, n_removed, n_spans, kept) for each of distinct_texts(): its remaining bytes."""
     joined = texts.select("tk", "text").join(repeated_spans(scratch, texts, length, shard, crowded), "tk", "left").select("tk", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,23 +330,30 @@ def kept(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard: i
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "digest")
-    found = kept(docs, text_col, length, shard, crowded)
+    name, texts = distinct_texts(scratch, docs, text_col)
+    found = kept(scratch, texts, length, shard, crowded)
     found = scratch.cut(found.select("tk", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "digest")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", text_key().alias("tk"))
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", text_key().alias("tk"))
     return rows.join(found, "tk").drop("tk")
 
 
-def keep(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def keep(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard: int = SHARD, crowded: int = CROWDED) -> DataFrame:
     """The rows and columns of docs with what remains of their texts; null texts stay null."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "kept")
-    changed = kept(docs, text_col, length).filter("n_removed > 0")
+    name, texts = distinct_texts(scratch, docs, text_col)
+    changed = kept(scratch, texts, length, shard, crowded).filter("n_removed > 0")
+    key, found, left = free_names(docs.columns, 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], names=["left_tk", "left_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], names=[found, left])
 
-    left = scratch.cut(changed.select("tk", "kept").mapInArrow(run, "left_tk binary, left_text string"), "left")
-    rows = docs.withColumn("row_tk", F.unhex(F.substring(F.sha2(text_of(text_col).cast("binary"), 256), 1, 32)))
-    text = F.when(F.col(text_col).isNotNull(), F.coalesce("left_text", F.col(text_col).cast("string"))).alias(text_col)
-    return rows.join(left, F.col("row_tk") == F.col("left_tk"), "left").select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    remains = scratch.cut(changed.select("tk", "kept").mapInArrow(run, f"{found} binary, {left} string"), "left")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    rows = docs.withColumn(key, F.unhex(F.substring(F.sha2(text_of(text_col).cast("binary"), 256), 1, 32)))
+    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.coalesce(left, F.col(f"`{text_col}`").cast("string"))).alias(text_col)
+    return rows.join(remains, F.col(key) == F.col(found), "left").select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])

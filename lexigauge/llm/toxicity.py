@@ -4,13 +4,13 @@ A text is read as overlapping windows of WINDOW words, STRIDE apart; every windo
 most toxic window. A word comes in as a learned vector of the word (lower case, without outer punctuation; words that
 the training sample has too rarely share one) next to the mean of learned vectors of its runs of three and four bytes. Two gated
 recurrent networks run over the window in both directions, attention pools their states, and a logistic unit gives the
-score. The network is trained in numpy on at most SAMPLE labelled documents outside the held-out fold; of a long
-training document TRAIN_WINDOWS evenly spaced windows are used. Only documents have labels, so each round learns from
-the window that the network finds most toxic in a document.
+score. The network is trained in numpy on a bounded sample of labelled rows outside the held-out fold, with all windows
+of each: at most SAMPLE documents that are SAMPLE_BYTES together, none of more than LARGEST bytes. Only documents have
+labels, so each round learns from the window that the network finds most toxic in a document.
 
 Labels, language, source and id are no inputs. Training is repeatable: sample, order and first weights are fixed.
 
-Defined cases: null texts are empty; a text without words is one window without words; repeated rows keep a row each;
+Defined cases: null texts are empty; very long texts are scored whole, in pieces with the same windows; a text without words is one window without words; repeated rows keep a row each;
 null ids are not held out and not learnt from; without labels of both kinds every score is the share of 1 among the
 labels (0 without any); extra columns are not read; an empty table gives an empty result.
 """
@@ -18,7 +18,7 @@ labels (0 without any); extra columns are not read; an empty table gives an empt
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from .common import held_out, small_batches, text_of, training_rows
 
 WINDOW, STRIDE = 48, 36
 SAMPLE = 3000
-TRAIN_WINDOWS = 60
+SAMPLE_BYTES, LARGEST = 12 << 20, 1 << 20
 VOCABULARY = 30_000
 GRAMS = 8192
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 8, 8, 8
@@ -201,33 +201,33 @@ def log_odds(with1: Array, with0: Array, n1: int, n0: int) -> Array:
     return np.where(np.abs(odds) * np.sqrt(np.minimum(with1 + with0, 50)) > 3, odds, 0).astype(np.float32) / 2
 
 
-def fit(texts: list[list[list[str]]], y: Array, rounds: int = 9, rate: float = 0.01, batch: int = 128) -> Network:
-    """texts: the windows (lists of words) of each document."""
+def fit(texts: Iterable[list[str]], y: Array, rounds: int = 9, rate: float = 0.01, batch: int = 128) -> Network:
+    """texts: the words of each document, read once; they are held as numbers of distinct words."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     gram_seen = np.zeros((2, GRAMS))
-    for windows, label in zip(texts, y):
-        words_of = {plain(w) for window in windows for w in window}
-        seen[int(label)].update(words_of)
-        if words_of:
-            gram_seen[int(label), np.unique(grams_of(list(words_of))[0])] += 1
+    index: dict[str, int] = {}
+    windows: list[Array] = []
+    for words, label in zip(texts, y):
+        words = [plain(w) for w in words]
+        distinct = set(words)
+        seen[int(label)].update(distinct)
+        if distinct:
+            gram_seen[int(label), np.unique(grams_of(list(distinct))[0])] += 1
+        numbers = np.array([index.setdefault(w, len(index)) for w in words], np.int32)
+        place = np.array(starts(len(words)))[:, None] + np.arange(WINDOW)
+        windows.append(np.where(place < len(numbers), numbers[np.minimum(place, max(0, len(numbers) - 1))], -1).astype(np.int32) if len(numbers) else np.full((1, WINDOW), -1, np.int32))
     total = seen[0] + seen[1]
     words = sorted((w for w, n in total.items() if n >= 4 and w), key=lambda w: (-total[w], w))[:VOCABULARY]
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
     net = Network(words, log_odds(np.array([seen[1][w] for w in words]), np.array([seen[0][w] for w in words]), n1, n0), log_odds(gram_seen[1], gram_seen[0], n1, n0))
-    index: dict[str, int] = {}
-    for windows in texts:
-        for window in windows:
-            for w in window:
-                index.setdefault(plain(w), len(index))
     vocabulary = list(index) or [""]
     number = np.array([net.number.get(w, 0) for w in vocabulary])
     gram, size = grams_of(vocabulary)
     gram_of = np.repeat(np.arange(len(vocabulary)), size)
     gram_at = np.concatenate(([0], np.cumsum(size)[:-1]))
-    ids = np.full((sum(len(t) for t in texts), WINDOW), -1, np.int64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    for k, window in enumerate(x for t in texts for x in t):
-        ids[k, : len(window)] = [index[plain(w)] for w in window]
+    ids = np.concatenate(windows)
+    owner = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+    del windows
     at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
 
     def inputs() -> Array:
@@ -239,7 +239,7 @@ def fit(texts: list[list[list[str]]], y: Array, rounds: int = 9, rate: float = 0
     g = np.random.default_rng(3)
     n = 0
     lead = inputs()[:, [0, WORD_DIM]].max(1)
-    signal = np.where(ids >= 0, lead[np.maximum(ids, 0)], -9).max(1)
+    signal = np.concatenate([np.where(part >= 0, lead[np.maximum(part, 0)], -9).max(1) for part in (ids[i : i + WINDOWS_AT_ONCE] for i in range(0, len(ids), WINDOWS_AT_ONCE))])
     for done in range(rounds):
         if done and done % 2 == 0 or done == 1:
             x = inputs()
@@ -311,7 +311,8 @@ class Scorer:
         total = 0
         for k, text in enumerate(texts):
             words = text.split()
-            for a in range(0, max(len(words), 1), 1000 * STRIDE):  # long texts in pieces; the next piece starts where this one's windows end
+            # long texts in pieces; the next piece starts where this one's windows end, if a window starts there
+            for a in range(0, max(len(words) - WINDOW + STRIDE, 1), 1000 * STRIDE):
                 parts.append((k, words[a : a + 1000 * STRIDE + WINDOW - STRIDE]))
                 total += len(parts[-1][1])
                 if total >= WORDS_AT_ONCE:
@@ -358,21 +359,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
-                words = t.split()
-                at = starts(len(words))
-                if len(at) > TRAIN_WINDOWS:
-                    at = [at[int(i)] for i in np.linspace(0, len(at) - 1, TRAIN_WINDOWS)]
-                out.append([" ".join(words[s : s + WINDOW]) for s in at])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), b.column(1)], names=["windows", "y"])
-
-    rows = training_rows(docs, labels, label, sample, id_col, text_col).mapInArrow(run, "windows array<string>, y int").orderBy(F.xxhash64("windows"), "y").collect()
-    y = np.array([r.y for r in rows], np.float32)
+                out.append(" ".join(t.split()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(1)], names=["words", "y"])
+
+    rows = training_rows(docs, labels, label, sample, SAMPLE_BYTES, LARGEST, id_col, text_col).mapInArrow(run, "words string, y int").orderBy(F.xxhash64("words"), "y").toArrow()
+    y = rows.column("y").to_numpy().astype(np.float32)
     if len(y) == 0 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    once: dict[str, str] = {}  # each word is held once
-    texts = [[[once.setdefault(x, x) for x in w.split(" ")] if w else [] for w in r.windows] for r in rows]
-    del rows
-    return fit(texts, y)
+    return fit((x.as_py().split() for c in rows.column("words").chunks for x in c), y)
 
 
 def scorer(model: Network | float) -> Scorer | Constant:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lexigauge.llm import quality, toxicity
+from lexigauge.llm import common, quality, toxicity
 
 WORDS = "house tree river stone cloud market garden window bridge letter music winter summer paper silver orange table morning evening forest".split()
 
@@ -122,10 +122,11 @@ def test_windows_and_grams():
     assert (toxicity.grams_of(["word"])[0] == flat[-7:]).all()
 
 
-def test_long_text_in_pieces():
-    """A very long text, scored in pieces, has the score of its most toxic window over the whole."""
+@pytest.mark.parametrize("n", [1000 * toxicity.STRIDE + k for k in (-1, 0, 1, 5, 12, 13, 48)] + [2200 * toxicity.STRIDE + 17])
+def test_long_text_in_pieces(n):
+    """A very long text, scored in pieces, has the score of its most toxic window over the whole: no window more, none less."""
     g = random.Random(2)
-    words = [f"w{g.randrange(40)}" for _ in range(2200 * toxicity.STRIDE + 17)]
+    words = [f"w{g.randrange(40)}" for _ in range(n - 3)] + ["w7"] * 3
     net = toxicity.Network([f"w{k}" for k in range(40)], np.array([g.gauss(0, 2) for _ in range(40)]), np.zeros(toxicity.GRAMS))
     index = {f"w{k}": k for k in range(40)}
     fx, bx = net.projected(net.inputs(list(index)))
@@ -135,6 +136,57 @@ def test_long_text_in_pieces():
     assert toxicity.Scorer(net).scores([" ".join(words)])[0] == pytest.approx(expected, abs=1e-5)
 
 
+def test_scores_are_those_of_plain_versions():
+    """Texts in blocks, batches and pieces score as each does by itself, passage by passage, window by window."""
+    g = random.Random(4)
+    texts = [" ".join(g.choice(WORDS) for _ in range(n)) for n in (0, 1, 30, 300, 3000)] + ["x" * 2_500_000, "é" * 999, "a" * 1000]
+    m = quality.Attention(256 + quality.STATS)
+    m.mean, m.std = np.full(256 + quality.STATS, 0.01, np.float32), np.full(256 + quality.STATS, 0.3, np.float32)
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    expected = []
+    for t in texts:
+        b = t.encode()
+        x = np.concatenate([quality.features(np.frombuffer(b[i : i + 1000], np.uint8), np.array([len(b[i : i + 1000])])) for i in range(0, max(1, len(b)), 1000)])
+        h = np.tanh((x - m.mean) / m.std @ p["W"] + p["b"])
+        a = np.tanh(h @ p["V"]) / (1 + np.exp(-h @ p["U"])) @ p["w"]
+        w = np.exp(a - a.max())
+        expected.append(1 / (1 + np.exp(-(w / w.sum() @ h @ p["c"] + p["d"][0]))))
+    assert m.scores([t.encode() for t in texts]) == pytest.approx(expected, abs=1e-4)
+
+    net = toxicity.Network(WORDS, np.array([g.gauss(0, 2) for _ in WORDS]), np.zeros(toxicity.GRAMS))
+    texts = texts[:5]
+
+    def one(words):
+        """A window step by step."""
+        x = net.inputs(words or [""]).astype(float)
+        states = []
+        for k, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, out = np.zeros(toxicity.HIDDEN), [None] * len(x)
+            for t in order:
+                u, v = x[t] @ net.p[f"W{k}"] + net.p[f"B{k}"], h @ net.p[f"U{k}"]
+                H = toxicity.HIDDEN
+                z, r = 1 / (1 + np.exp(-(u[:H] + v[:H]))), 1 / (1 + np.exp(-(u[H : 2 * H] + v[H : 2 * H])))
+                h = (1 - z) * np.tanh(u[2 * H :] + r * v[2 * H :]) + z * h
+                out[t] = h
+            states.append(np.array(out))
+        h = np.concatenate(states, axis=1)
+        e = np.tanh(h @ net.p["A"]) @ net.p["a"]
+        e = np.exp(e - e.max())
+        return 1 / (1 + np.exp(-((e / e.sum()) @ h @ net.p["o"] + net.p["c"][0])))
+
+    expected = [max(one(t.split()[s : s + toxicity.WINDOW]) for s in toxicity.starts(len(t.split()))) for t in texts[1:]]
+    assert toxicity.Scorer(net).scores(texts)[1:] == pytest.approx(expected, abs=1e-4)
+
+
+def test_training_sample_is_bounded_by_whole_rows(spark):
+    rows = [(i, "w " * (10 if i else 2000)) for i in range(40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    of = lambda *bounds: [r["text"] for r in common.training_rows(docs, labels, "quality", *bounds).collect()]
+    all_ = of(100, 1 << 20, 1 << 20)
+    assert len(all_) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+    assert len(of(7, 1 << 20, 1 << 20)) == 7 and len(of(100, 101, 1000)) == 5 and all(t in dict(rows).values() for t in all_)
+
+
 def test_features():
     out = quality.features(np.frombuffer(b"aa aa bAB c", np.uint8), np.array([5, 6]))
     assert out[0, 259] == pytest.approx(0.5) and out[0, 260] == pytest.approx(0.5) and out[1, 259] == 0

@@ -62,3 +62,10 @@ def test_large_group_of_near_vectors(spark):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     linked = np.concatenate([(u[i : i + 2000] @ u.T >= 0.9).sum(1) - 1 for i in range(0, n, 2000)])
     assert linked.sum() > 50_000_000 and np.array_equal(got, linked)
+
+
+def test_dimensions(spark):
+    """Vectors of equal dimension link, whatever dimension most have; those of different ones never do."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.1]), (6, [3.0]), (7, [0.5]), (8, [-1.0]), (9, [1.0, 0.0, 0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (0, 9)}

@@ -2,9 +2,12 @@
 
 import hashlib
 import itertools
+import os
 import random
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from lexigauge.llm import html_extract, packing, prefix_hash, quotation
@@ -123,9 +126,36 @@ def test_pack(spark):
     for r in got:
         counts[r["n_tokens"]] = counts.get(r["n_tokens"], 0) + 1
     assert sum(r["padding"] for r in got) == packing.padding(counts, packing.boundaries(counts, 4))
+    texts = {}
+    for r in sorted(got, key=lambda r: r["piece"]):
+        assert len(r["text"]) == r["end"] - r["begin"] and len(r["text"].split()) == r["n_tokens"]
+        if r["doc_id"] in (999, 1000):
+            texts[r["doc_id"]] = texts.get(r["doc_id"], "") + r["text"]
+    assert texts == {1000: "long " * 5000}
+    again = packing.pack(df.repartition(7), max_tokens=512, buckets=4, budget=1024, shard=20).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))  # the same batches however the rows are spread
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_equal_rows_are_spread(spark):
+    """A third of all rows alike, without an id: they fill batches of every shard."""
+    df = spark.createDataFrame([(None, "a b c")] * 300 + [(i, f"a b c{i}") for i in range(600)], "doc_id long, text string")
+    got = packing.pack(df, budget=30, shard=100).collect()
+    assert len(got) == 900 and sum(r["doc_id"] is None for r in got) == 300
+    assert len({r["batch_id"] for r in got if r["doc_id"] is None}) > 60
+
+
+def test_sequences():
+    g = random.Random(6)
+    for _ in range(300):
+        t = "".join(g.choice("ab \t\né\u00a0\u3000🙂") for _ in range(g.randrange(60)))
+        made = packing.sequences(t, 3)
+        assert "".join(t[a:b] for _, a, b in made) == t and [n for n, _, _ in made] == [len(t[a:b].encode().split()) for _, a, b in made]
+        assert all(n == 3 for n, _, _ in made[:-1]) and (made[-1][0] > 0 or len(made) == 1)
+        assert packing.sequences(t, 3, packing.white_space_tokens) == made
+    assert packing.sequences("abcd", 2, lambda t: range(len(t))) == [(2, 0, 2), (2, 2, 4)]
+
+
 def test_prefix_hashes():
     g = random.Random(8)
     a = "".join(g.choice("abé漢🙂") for _ in range(400))
@@ -141,23 +171,58 @@ def test_prefix_hashes():
     assert like(a, a) == 1 and like("", "") == 1 and like("", a) == 0 and like(a, a[:300] + "z" * 100) > 0.5 > 0.05 > like(a, "".join(g.choice("mnopq") for _ in range(400)))
 
 
+def spans_by_hand(text):
+    """The fingerprint's bag of spans, read off the text."""
+    n = next(span for least, span in prefix_hash.SPANS if len(text) >= least)
+    return Counter(text[i : i + n] for i in range(max(1, len(text) - n + 1))) if text else Counter()
+
+
+def likeness_by_hand(a, b):
+    x, y = spans_by_hand(a), spans_by_hand(b)
+    return 1.0 if a == b else sum((x & y).values()) / max(1, sum((x | y).values()))
+
+
+def test_span_hashes():
+    """Equal spans have equal hashes wherever they are, in texts of any length; others differ."""
+    g = random.Random(2)
+    texts = ["".join(g.choice("ab🙂") for _ in range(g.randrange(20, 300))) for _ in range(12)]
+    for n in (2, 4, 16):
+        seen = {}
+        for t in texts:
+            for i, h in enumerate(prefix_hash.Prefixes(t).spans(n).tolist()):
+                assert seen.setdefault(h, t[i : i + n]) == t[i : i + n]
+        assert len(seen) == len({t[i : i + n] for t in texts for i in range(len(t) - n + 1)})
+
+
 @pytest.mark.parametrize("per_range", [2000, 3])
 def test_edits(spark, per_range):
+    """All columns against values by hand; likeness against the bags of spans that the sketch estimates."""
     g = random.Random(8)
-    rows = [(i * 3, "".join(g.choice("abc défg") for _ in range(g.randrange(200)))) for i in range(30)] + [(12, "tie"), (12, "tie"), (None, "no id"), (None, None), (5, "x" * 20000), (6, "")]
+    text = lambda n: "".join(g.choice("abc défg") for _ in range(n))
+    rows = [(i * 3, text(g.randrange(600))) for i in range(30)] + [(12, "tie"), (12, "tie"), (None, "no id"), (None, None), (5, "x" * 20000), (6, "")]
+    rows += [(40, text(50)) for _ in range(40)] + [(None, text(g.randrange(90))) for _ in range(40)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, range string")
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
-    expected = []
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""]), reverse=True)
+    expected, near = [], {}
     for (i, t), (_, following) in zip(order, order[1:] + order[:1]):
         t, following = t or "", following or ""
         m = len(t) // 3
-        expected.append((str(i), len(t), hashlib.sha256((t[: len(t) - m] + following[:m]).encode()).hexdigest(), prefix_hash.fingerprint(t)[0], prefix_hash.likeness(prefix_hash.fingerprint(t)[0], prefix_hash.fingerprint(following)[0])))
-    got = prefix_hash.edits(df, per_range=per_range).collect()
-    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["near_next"]) for r in got) == sorted(expected)
-    assert prefix_hash.edits(df.limit(0)).count() == 0
+        e = t[: len(t) - m] + following[:m]
+        begin = len(os.path.commonprefix([t, e]))
+        end = min(len(os.path.commonprefix([t[::-1], e[::-1]])), len(t) - begin) if begin < len(t) else 0
+        key = (str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), prefix_hash.fingerprint(t)[0], prefix_hash.fingerprint(e)[0], True, begin, end)
+        expected.append(key)
+        near[key] = likeness_by_hand(t, e), likeness_by_hand(t, following)
+    got = {(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["same_before"], r["same_at_begin"], r["same_at_end"]): (r["near_edited"], r["near_next"]) for r in prefix_hash.edits(df, per_range=per_range).collect()}
+    assert sorted(got) == sorted(set(expected))
+    for key, (to_edited, to_next) in got.items():
+        assert to_edited == pytest.approx(near[key][0], abs=0.25) and to_next == pytest.approx(near[key][1], abs=0.25)
+    assert np.mean([abs(got[k][0] - near[k][0]) for k in got]) < 0.05
+    assert prefix_hash.edits(df, per_range=per_range).count() == len(rows) and prefix_hash.edits(df.limit(0)).count() == 0
     one = prefix_hash.edits(df.filter("doc_id = 5")).collect()
-    assert len(one) == 1 and one[0]["near_edited"] == 1.0
-    assert sorted(r["fingerprint"] for r in prefix_hash.fingerprints(df).collect()) == sorted(e[3] for e in expected)
+    assert len(one) == 1 and one[0]["near_edited"] == 1.0 and one[0]["same_at_begin"] == 20000
+    assert sorted(r["fingerprint"] for r in prefix_hash.fingerprints(df).collect()) == sorted(prefix_hash.fingerprint(t or "")[0] for _, t in rows)
 
 
 PAGES = [

@@ -5,9 +5,10 @@ import random
 import pytest
 
 import corpus_pipeline
-from lexigauge.llm import packing, quality, simhash, toxicity
+from lexigauge.llm import packing, quality, toxicity
 
 from .test_classifiers import corpus
+from .test_simhash_near import brute as near
 from .test_suffixes import brute
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,18 +44,16 @@ def test_against_plain(spark, folder):
     docs = [r for r, s in zip(docs, good) if s >= 0.3]
     bad = toxicity.Scorer(toxicity.train(frame(docs), labels)).scores([r["text"] or "" for r in docs])
     docs = [r for r, s in zip(docs, bad) if s < 0.5]
-    fps = [simhash.fingerprint(r["text"] or "") for r in docs]
-    label = list(range(len(docs)))
-    for _ in docs:
-        new = [min(label[j] for j in range(len(docs)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(docs))]
-        if new == label:
-            break
-        label = new
+    label = near([r["text"] for r in docs])
     docs = [r for i, r in enumerate(docs) if label[i] == i]  # sorted by id: the first of a component has its least id
     left = [x[0].decode("utf-8", "ignore") for x in brute([(r["text"] or "").encode() for r in docs], 200)]
     expected = sorted((str(r["doc_id"]), k, min(2048, len(t.split()) - 2048 * k)) for r, t in zip(docs, left) for k in range(max(1, -(-len(t.split()) // 2048))))
     got = corpus_pipeline.run(spark, folder).collect()
     assert sorted((str(r["doc_id"]), r["piece"], r["n_tokens"]) for r in got) == expected
+    texts = {}
+    for r in sorted(got, key=lambda r: r["piece"]):
+        texts[str(r["doc_id"])] = texts.get(str(r["doc_id"]), "") + r["text"]
+    assert texts == {str(r["doc_id"]): t for r, t in zip(docs, left)}  # what is left of each text, whole
     counts = {}
     for r in got:
         counts[r["n_tokens"]] = counts.get(r["n_tokens"], 0) + 1

@@ -1,7 +1,11 @@
 """Induced sorting and passage removal against brute force."""
 
+import gc
 import hashlib
 import random
+import shutil
+import tempfile
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -40,6 +44,36 @@ def test_order(memory):
             assert prefix[i] == common(text, order[i - 1], order[i], limit)
 
 
+def peak_of_sorting(n, memory):
+    """Megabytes that sorting a text of n characters with repeats holds at once beside its files."""
+    g = np.random.default_rng(n)
+    path = tempfile.mkdtemp()
+    text = np.memmap(f"{path}/text", np.uint8, "w+", shape=(n,))
+    for a in range(0, n, 1 << 16):
+        text[a : a + (1 << 16)] = g.integers(1, 60, min(1 << 16, n - a), dtype=np.uint8)
+    copies = n // 20
+    text[n // 2 : n // 2 + copies] = text[:copies]
+    text[np.arange(499, n, 500)] = 0
+    text[-1] = 0
+    with induced_sort.Disk(memory) as disk:
+        gc.collect()
+        tracemalloc.start()
+        hit = induced_sort.repeats(text, 200, disk)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        found = np.flatnonzero(hit)
+    inside = np.arange(copies) % 500 < 300 - 1
+    assert set(found) >= set(np.flatnonzero(inside)) | set(n // 2 + np.flatnonzero(inside & (np.arange(copies) + 200 <= copies))) - set(range(copies - 700, n // 2)) - set(range(n // 2 + copies - 700, n))
+    shutil.rmtree(path)
+    return peak
+
+
+def test_memory_does_not_grow_with_the_text():
+    """A text of four times the length, over a hundred times what may be in memory, takes no more memory."""
+    small, large = peak_of_sorting(500_000, 1 << 13), peak_of_sorting(2_000_000, 1 << 13)
+    assert large < 1.3 * small and large < 12
+
+
 def brute(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
@@ -83,6 +117,32 @@ def test_documents(spark, shard, crowded):
     left = sorted((str(i), left.decode("utf-8", "ignore") if t is not None else "null") for (i, t, _), (left, _, _) in zip(rows, brute(texts, 200)))
     assert sorted((str(r["doc_id"]), r["text"] if r["text"] is not None else "null") for r in kept.collect()) == left
     assert suffix_dedup.digest(df.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lexigauge_texts_")]
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "tk", "spans", "left_text", "row_tk", "_own0", "_OWN1"]
+    df = spark.createDataFrame([(1, "a" * 300, *"abcdef"), (2, "b", *"ghijkl"), (None, None, *"mnopqr")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = sorted(map(str, suffix_dedup.keep(df).collect()))
+    assert got == sorted(map(str, [r if r["doc_id"] != 1 else type(r)(**(r.asDict() | {"text": ""})) for r in df.collect()]))
+
+
+def test_shards_in_files(spark, monkeypatch):
+    """Pieces, their numbers and the sorting in files give the same."""
+    monkeypatch.setattr(suffix_dedup.Disk.__init__, "__defaults__", (64,))
+    g = random.Random(3)
+    texts = [bytes(g.choice(b"abc ") for _ in range(g.randrange(20, 400))) for _ in range(30)]
+    texts += [t[10:] for t in texts[:10]]
+    disk = suffix_dedup.Disk(16)
+    shard = suffix_dedup.Shard(disk, 2)
+    for k, t in enumerate(texts):
+        shard.add(t, k, -k)
+    got = list(shard.repeats(50))
+    seen = Counter(t[i : i + 50] for t in texts for i in range(len(t) - 49))
+    assert [n for n, _ in got] == [[k, -k] for k in range(len(texts))]
+    for (_, spans), t in zip(got, texts):
+        assert [i for a, b in spans for i in range(a, b)] == [i for i in range(len(t) - 49) if seen[t[i : i + 50]] > 1]
+    disk.close()
 
 
 def test_common_passage_in_differing_surroundings(spark, monkeypatch):
