@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigauge.llm import packing, quality, simhash, suffix_dedup, toxicity
+from lexigauge.llm import packing, quality, simhash_near, suffix_dedup, toxicity
 from lexigauge.llm.common import Scratch
 
 
@@ -28,7 +28,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """Texts whose five-word shingles are alike by about 0.8 or more, by sampled SimHash segments: see the operator's module."""
+    return simhash_near.keep_one(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
