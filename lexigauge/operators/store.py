@@ -44,7 +44,9 @@ def fresh_samples(log: DataFrame, expected: DataFrame | None = None) -> DataFram
 
     expected: (sourceId, modelId, interventionId, expectedHash); without it own provenance is not asked about. Fresh is
     the least fixpoint: samples that reuse nothing, then those that reuse only what is fresh and unchanged, so a circle
-    never is. Each round works on the edges that are still open; rounds end when none is or nothing becomes fresh.
+    never is. Each round works on the edges that are still open, and an edge to a sample that waits for one other only
+    then leads to that one, so that a chain of any length takes a logarithm of rounds. Of what waits without a circle
+    something becomes fresh in each round, so rounds end when nothing does.
     """
     latest = last_wins(log, ["id"])
     if expected is not None:
@@ -67,14 +69,13 @@ def fresh_samples(log: DataFrame, expected: DataFrame | None = None) -> DataFram
         if waiting.isEmpty():
             break
         # ids with an edge to something that is not fresh yet
-        held = waiting.join(rounds[-1].withColumnRenamed("id", "parent"), "parent", "left_anti").select("id", "parent")
+        held = written(waiting.join(rounds[-1].withColumnRenamed("id", "parent"), "parent", "left_anti").select("id", "parent"))
         ready = written(waiting.select("id").distinct().join(held.select("id").distinct(), "id", "left_anti"))
         if ready.isEmpty():
             break
-        if len(rounds) > 32:
-            rounds = [written(reduce(DataFrame.union, rounds))]
         rounds.append(ready)
-        waiting = held.join(ready, "id", "left_anti")
+        only = held.groupBy("id").agg(F.count("*").alias("n"), F.min("parent").alias("next")).filter("n = 1").select(F.col("id").alias("parent"), "next")
+        waiting = held.join(only, "parent", "left").select("id", F.coalesce("next", "parent").alias("parent")).distinct()
     return latest.join(reduce(DataFrame.union, rounds), "id", "left_semi").select(*log.columns, "_ord")
 
 

@@ -7,6 +7,7 @@ same rows. Japanese and Markdown come as literals, the same in both engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .functions import compat, lint, text, tokens
 from .operators import human, judge, pairs, report, store
-from .plans import planning
+from .plans import pipeline, planning
 from .sources import logs
+from .tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -44,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # --- views of the given tables
 
 
@@ -318,24 +325,45 @@ def fresh_judgments(spark, sf_dir):
     return store.fresh_judgments(log, texts_now(spark, sf_dir), contexts, judges).select("kind", "sampleId", "event_id")
 
 
-@query("fresh_closure", """WITH RECURSIVE c AS (SELECT c_custkey AS n, c_custkey % 9 = 4 AS changed, c_custkey % 6 > 0 AS reuses FROM customer),
+@query("fresh_closure", """WITH RECURSIVE c AS (SELECT c_custkey AS n, c_custkey % 131 = 4 AS changed, c_custkey % 100 > 0 AS reuses FROM customer),
     f AS (SELECT n FROM c WHERE NOT reuses UNION ALL SELECT c.n FROM f JOIN c ON c.n = f.n + 1 AND c.reuses JOIN c p ON p.n = f.n AND NOT p.changed) SELECT 'c' || n AS id FROM f""")
 def fresh_closure(spark, sf_dir):
-    """Chains of customers: each takes over the one before, six in a row; one in nine changed after it was taken over."""
+    """Chains of customers: each takes over the one before, a hundred in a row; one in 131 changed after it was taken over."""
     n = F.col("c_custkey")
     now = lambda c: F.concat(F.lit("text "), c.cast("string"))
     parent = F.concat(F.lit("c"), (n - 1).cast("string"))
-    recorded = F.sha2(F.when((n - 1) % 9 == 4, F.lit("before")).otherwise(now(n - 1)), 256)
-    step = F.struct(F.lit("generate").alias("type"), F.when(n % 6 > 0, parent).alias("reusedFrom"), F.when(n % 6 > 0, recorded).alias("reusedHash"))
+    recorded = F.sha2(F.when((n - 1) % 131 == 4, F.lit("before")).otherwise(now(n - 1)), 256)
+    step = F.struct(F.lit("generate").alias("type"), F.when(n % 100 > 0, parent).alias("reusedFrom"), F.when(n % 100 > 0, recorded).alias("reusedHash"))
     log = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), n.cast("string")).alias("id"), now(n).alias("text"), F.lit(None).cast("string").alias("error"), F.array(step).alias("steps"), n.alias("_seq"))
     return store.fresh_samples(log).select("id")
 
 
-@query("expected_cells", "SELECT n_name AS sourceId, m.c_mktsegment AS modelId, r_name AS interventionId, n_nationkey % 5 = r_regionkey AS current FROM nation CROSS JOIN region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) m")
+@query("expected_cells", """SELECT n_name AS sourceId, coalesce('m' || m, 'none') AS modelId, i AS interventionId, n_regionkey AS sameAs, count(*) OVER (PARTITION BY n_regionkey, m, i) AS alike
+    FROM nation, (VALUES (NULL), (1), (2)) a(m), (VALUES ('baseline'), ('fix'), ('rewrite')) b(i)""")
 def expected_cells(spark, sf_dir):
-    """Cells of every source, model and intervention, and the one whose provenance is current."""
-    dims = table(spark, sf_dir, "nation").select(F.col("n_name").alias("sourceId"), "n_nationkey").crossJoin(table(spark, sf_dir, "region")).crossJoin(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("modelId")).distinct())
-    return dims.select("sourceId", "modelId", F.col("r_name").alias("interventionId"), (F.col("n_nationkey") % 5 == F.col("r_regionkey")).alias("current"))
+    """Cells of every source, model and intervention; those of one region's nations, which have the same prompt, have the same provenance, and no others."""
+    sources = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), F.lit("task").alias("sourceType"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("audience"), F.concat(F.lit("about "), "n_regionkey").alias("prompt"), F.lit(None).cast("string").alias("text"))
+    every = [{"id": "baseline", "steps": [{"type": "generate"}]}, {"id": "fix", "steps": [{"type": "generate", "reuse": "baseline"}, {"type": "textlint-fix"}]}, {"id": "rewrite", "steps": [{"type": "generate"}, {"type": "rewrite", "prompt": "p"}]}]
+    cells = pipeline.expected_hashes(sources, every, [{"id": "m1", "provider": "mock", "model": "a"}, {"id": "m2", "provider": "mock", "model": "b"}])
+    alike = F.count("*").over(Window.partitionBy("expectedHash"))
+    return cells.join(table(spark, sf_dir, "nation").select(F.col("n_name").alias("sourceId"), F.col("n_regionkey").alias("sameAs")), "sourceId").select("sourceId", "modelId", "interventionId", "sameAs", alike.alias("alike"))
+
+
+@query("log_order", "SELECT 'u' || user_id AS k, max(event_id) AS event_id FROM events GROUP BY user_id")
+def log_order(spark, sf_dir):
+    """A log in two appends, numbered: the last record of a user by number is read back as the last, whatever files it is in."""
+    path = folder(spark, "log")
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("k"), "event_id")
+    logs.append_log(events.filter("event_id % 2 = 0").withColumn("_seq", F.col("event_id")), path)
+    logs.append_log(events.filter("event_id % 2 = 1").withColumn("_seq", F.col("event_id")), path)
+    return store.last_wins(logs.read_log(spark, path, "k string, event_id bigint"), ["k"]).select("k", "event_id")
+
+
+@query("snapshot_round_trip", "SELECT o_orderkey, o_orderpriority FROM orders")
+def snapshot_round_trip(spark, sf_dir):
+    path = folder(spark, "snapshot")
+    logs.write_snapshot(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").coalesce(1), path)
+    return logs.read_snapshot(spark, path, "o_orderkey bigint, o_orderpriority string")
 
 
 @query("todo_antijoin", f"WITH {SAMPLES} SELECT id FROM ev WHERE error IS NULL AND text <> '' AND event_id % 4 <> 1")
@@ -418,17 +446,21 @@ DRAWS = """a AS (SELECT *, CAST((CAST(seed AS HUGEINT) + (k + 1) * CAST(18315658
     d AS (SELECT *, xor(u, w) AS x FROM c), dr AS (SELECT *, CAST(xor(x, x >> 14) AS DOUBLE) / 4294967296.0 AS draw FROM d)"""
 
 
-@query("assign_pairs", f"""WITH {VOTES}, v AS (SELECT raterId, 'n' || user_id % 25 AS pairId FROM vo WHERE seq % 40 = 0), ra AS (SELECT DISTINCT raterId FROM v), an AS (SELECT DISTINCT raterId, pairId FROM v),
-    s AS (SELECT raterId, 'n' || n_nationkey AS pairId, n_nationkey AS k, CAST('0x' || left(sha256('rater' || chr(31) || raterId), 8) AS BIGINT) AS seed FROM ra, nation), {DRAWS},
+RATERS = "ra AS (SELECT DISTINCT raterId FROM v UNION SELECT unnest(['new1', 'new2']))"
+
+
+@query("assign_pairs", f"""WITH {VOTES}, v AS (SELECT 'r' || seq % 101 AS raterId, 'c' || user_id AS pairId FROM vo), {RATERS}, an AS (SELECT DISTINCT raterId, pairId FROM v JOIN customer ON pairId = 'c' || c_custkey),
+    s AS (SELECT raterId, 'c' || c_custkey AS pairId, c_custkey AS k, CAST('0x' || left(sha256('rater' || chr(31) || raterId), 8) AS BIGINT) AS seed FROM ra, customer), {DRAWS},
     o AS (SELECT dr.raterId, dr.pairId, row_number() OVER (PARTITION BY dr.raterId ORDER BY coalesce(n, 0), draw, dr.pairId) AS place, coalesce(done, 0) AS done FROM dr
       LEFT JOIN (SELECT pairId, count(*) AS n FROM v GROUP BY pairId) c ON c.pairId = dr.pairId LEFT JOIN (SELECT raterId, count(*) AS done FROM an GROUP BY raterId) e ON e.raterId = dr.raterId
       WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.raterId = dr.raterId AND an.pairId = dr.pairId))
-    SELECT raterId, pairId, CAST(place AS INTEGER) AS place FROM o WHERE place <= greatest(24 - done, 0)""")
+    SELECT raterId, pairId, CAST(place AS INTEGER) AS place FROM o WHERE place <= greatest(120 - done, 0)""")
 def assign_pairs(spark, sf_dir):
-    """Every rater's next pairs up to 24 answers in all; the pairs are nations, the votes a small share of the events."""
-    v = votes(spark, sf_dir).filter("_seq % 40 = 0").withColumn("pairId", F.concat(F.lit("n"), F.col("user_id") % 25))
-    every = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("pairId"), F.col("n_nationkey").alias("ord"))
-    return human.assign(every, v, v.select("raterId").distinct(), 24)
+    """Every rater's next pairs up to 120 answers in all, two newcomers among them; the pairs are customers, the votes all events."""
+    v = votes(spark, sf_dir).withColumns({"raterId": F.concat(F.lit("r"), F.col("_seq") % 101), "pairId": F.concat(F.lit("c"), "user_id")})
+    every = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("pairId"), F.col("c_custkey").alias("ord"))
+    raters = v.select("raterId").distinct().union(spark.createDataFrame([("new1",), ("new2",)], "raterId string"))
+    return human.assign(every, v, raters, 120)
 
 
 @query("random_draws", f"""WITH s AS (SELECT n_nationkey AS k, seed FROM nation, (VALUES (0), (42), (3735928559), (4294967295)) v(seed)), {DRAWS} SELECT CAST(k AS INTEGER) AS k, CAST(seed AS BIGINT) AS seed, draw FROM dr""")
@@ -477,11 +509,12 @@ def unique_ids(spark, sf_dir):
     return duplicate_ids(table(spark, sf_dir, "nation"), "n_regionkey")
 
 
-@query("fk_violations", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL)")
+@query("fk_violations", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL AND s_suppkey <= 9)")
 def fk_violations(spark, sf_dir):
+    """Customers of nations that the first nine suppliers are not of."""
     from .sources.definitions import missing_references
 
-    return missing_references(table(spark, sf_dir, "customer"), "c_nationkey", table(spark, sf_dir, "supplier").select("s_nationkey").distinct(), "s_nationkey").select("c_custkey")
+    return missing_references(table(spark, sf_dir, "customer"), "c_nationkey", table(spark, sf_dir, "supplier").filter("s_suppkey <= 9").select("s_nationkey").distinct(), "s_nationkey").select("c_custkey")
 
 
 # --- texts
@@ -637,9 +670,10 @@ def text_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", compat.text_hash(F.col("text")).alias("hash"))
 
 
-@query("pair_ids", "SELECT doc_id, left(sha256(concat_ws(chr(31), 'models', source, lang, text, 'title', coalesce(NULL, '一般的な読者'))), 16) AS id FROM documents")
+@query("pair_ids", f"""WITH {SAMPLES}, {MODEL_PAIRS} SELECT left(sha256(concat_ws(chr(31), 'models', a, b, x.text, y.text, mp.sourceId, '一般的な読者')), 16) AS id, a AS aSampleId, b AS bSampleId FROM mp JOIN ev x ON x.id = a JOIN ev y ON y.id = b""")
 def pair_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.left(compat.hashed(F.lit("models"), F.col("source"), F.col("lang"), F.col("text"), "title", F.lit("一般的な読者")), F.lit(16)).alias("id"))
+    nobody = spark.createDataFrame([], "id string, title string, audience string")
+    return pairs.human_pairs(samples(spark, sf_dir), nobody, ["models"]).select("id", "aSampleId", "bSampleId")
 
 
 @query("cache_dedup", "SELECT count(*) AS requests, count(DISTINCT text) AS asked FROM documents")
@@ -674,10 +708,67 @@ def finite_metrics(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.size(F.map_filter(m, lambda k, v: compat.finite(v))).alias("n"))
 
 
-@query("lint_counts", f"WITH {SENTENCES}, {LENGTHS}, r AS (SELECT id, 'sentence-length' AS rule, count(*) AS n FROM le WHERE n > 100 GROUP BY id UNION ALL SELECT id, 'max-ten', count(*) FROM le WHERE c > 3 GROUP BY id) SELECT * FROM r")
+PLAIN_LINES = f"pl AS (SELECT id, {STRIPPED} AS plain FROM tx)"
+SQL_FIXED = "|".join(p for p, _ in SQL_REWRITES[:11])
+LINE_RULES = {"max-kanji-run": f"[{SQL_KANJI}]{{5,}}", "no-redundant-expression": SQL_FIXED, "no-double-negative": "なくはない|ないわけではない|ないことはない|なくもない"}
+
+
+@query("lint_counts", f"""WITH {SENTENCES}, {LENGTHS}, {PLAIN_LINES}, r AS (SELECT id, 'sentence-length' AS rule, count(*) AS n FROM le WHERE n > 100 GROUP BY id UNION ALL SELECT id, 'max-ten', count(*) FROM le WHERE c > 3 GROUP BY id
+    {' '.join(f"UNION ALL SELECT id, '{r}', len(regexp_extract_all(plain, '{p}')) FROM pl" for r, p in LINE_RULES.items())}) SELECT * FROM r WHERE n > 0""")
 def lint_counts(spark, sf_dir):
-    found = lint.with_lint(texts(spark, sf_dir), "text", "m").select("id", F.explode(lint.rule_counts(F.col("m"))).alias("rule", "n"))
-    return found.filter(F.col("rule").isin("sentence-length", "max-ten"))
+    return lint.with_lint(texts(spark, sf_dir), "text", "m").select("id", F.explode(lint.rule_counts(F.col("m"))).alias("rule", "n"))
+
+
+# Cases by hand: what goes in and what must come out, so that each rule shows by itself.
+
+
+def cases(name: str, rows: list[tuple[str, str]], made) -> None:
+    """A query over literals whose SQL is the values that must come out. made: the result as a string column of column t."""
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+
+    @query(name, "SELECT * FROM (VALUES " + ", ".join(f"({n}, {quoted(out)})" for n, (_, out) in enumerate(rows)) + ") v(n, made)")
+    def run(spark, sf_dir):
+        return spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)], "n int, t string").select("n", made(F.col("t")).alias("made"))
+
+
+cases(
+    "rewrite_cases",
+    [
+        ("読むことをすることができます。", "読むことをできます。"), ("することができる人", "できる人"), ("調査を行います。", "調査します。"), ("調査を行う。", "調査する。"), ("調査を実施し、", "調査し、"), ("ということだ", "ことだ"), ("というもの", "もの"), ("会議において", "会議で"), ("日本における", "日本の"),
+        ("件に関して", "件について"), ("ではないでしょうか", "でしょう"), ("長いですが、読む", "長いです。読む"), ("読みますが、書く", "読みます。書く"), ("走るが、止まる", "走る。止まる"), ("走ったが、止まる", "走った。止まる"), ("長いが、読む", "長い。読む"), ("降っており、寒い", "降っています。寒い"),
+        ("読むものの、書かない", "読むました。ただし、書かない"), ("# 調査を行う", "# 調査を行う"), ("- 調査を行う\n調査を行う", "- 調査を行う\n調査する"), ("  * を行う", "  * を行う"), ("12. を行う", "12. を行う"), ("```を行う", "```を行う"), ("1) を行う", "1) する"),
+    ],
+    text.rewrite,
+)
+cases(
+    "markdown_cases",
+    [
+        ("使う `a b` と ``c `d` e``", "使う X と X"), ("### 題\n本文", "題\n本文"), ("題\n====\n本文", "題\n\n本文"), ("題\n---\n本文", "題\n\n本文"), ("* 一\n+ 二\n- 三", "一\n二\n三"), ("1. 一\n22) 二", "一\n二"), ("> 引用\n>> 二重", "引用\n> 二重"), ("|a|b|\n|:-:|--|\n|c|d|", " a b \n\n c d "),
+        ("**太い** 字", "太い 字"), ("[名前](http://x) だ", "名前 だ"), ("a\t \tb", "a b"), ("####### 七", "####### 七"), ("本文 # 途中", "本文 # 途中"), ("```\nコード\n```\n本文", "\n本文"), ("~~~\nコード\n~~~~\n本文", "\n本文"), ("本文\n\n    コード", "本文\n\n"),
+        ("````\n```\n````\n文", "\n文"), ("- 項目\n\n    続き", "項目\n\n 続き"), ("- 項目\n\n      コード\n終わり", "項目\n\n\n終わり"), ("> ```\n> x\n> ```\n文", "\n文"), ("```\n閉じない", ""), ("文\n    続く", "文\n 続く"),
+    ],
+    text.strip_markdown,
+)
+cases(
+    "sentence_cases",
+    [
+        ("一です。二です！三です？四", "一です。|二です！|三です？|四"), ("「はい。」と言う。", "「はい。」|と言う。"), ("『本。』）次。", "『本。』|）次。"), ("One. Two! Three?", "One. Two!|Three?"), ("一\n\n二\n　三　", "一|二|三"), ("（注。）次", "（注。）|次"), ("本当？！", "本当？|！"), ("(a.) b!) c", "(a.) b!)|c"), ("", ""),
+    ],
+    lambda t: F.array_join(text.split_sentences(t), "|"),
+)
+SURFACE_CASES = [
+    # text, then kanji, hiragana, katakana, Latin, units, longest run of kanji, lists, headings, circumlocutions
+    ("漢字かなカナabc", "2 2 2 3 9 2 0 0 0"), ("人々の㐂び", "3 2 0 0 5 2 0 0 0"), ("𠮷野家", "2 0 0 0 4 2 0 0 0"), ("ーヴぁゟヿ", "0 2 3 0 5 0 0 0 0"), ("一二三、四五", "5 0 0 0 6 3 0 0 0"), ("- a\n* b\n+ c\n3. d\n4) e\n本", "1 0 0 5 6 1 5 0 0"), ("# 題\n副\n===\n文\n---\n|a|\n---", "3 0 0 1 4 3 0 3 0"),
+    ("行うことが読むことを書くことはすることに見ることで聞くことも", "5 25 0 0 30 1 0 0 6"), ("というものである", "0 8 0 0 8 0 0 0 2"), ("ものです。ことができ。を行う。を行い。を行っ。において。における。に関して。に対して", "5 29 0 0 42 1 0 0 9"),
+]
+
+
+@query("surface_cases", "SELECT * FROM (VALUES " + ", ".join(f"({n}, '{out}')" for n, (_, out) in enumerate(SURFACE_CASES)) + ") v(n, made)")
+def surface_cases(spark, sf_dir):
+    df = text.with_surface(spark.createDataFrame([(n, t) for n, (t, _) in enumerate(SURFACE_CASES)], "n int, text string"))
+    whole = lambda c: F.round(F.col(c) * F.greatest("chars", F.lit(1))).cast("long")
+    said = F.round(F.col("nominalizationPer1k") * F.greatest("chars", F.lit(1)) / 1000).cast("long")
+    return df.select("n", F.concat_ws(" ", *[whole(f"{k}Ratio") for k in ("kanji", "hiragana", "katakana", "latin")], "chars", "maxKanjiRun", "listLines", "headings", said).alias("made"))
 
 
 TOKENS = [
