@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, batch_rows, components
 
 COSINE = 0.9
 SAMPLE = 20_000
@@ -163,7 +163,6 @@ def matched(index: Index, q: np.ndarray, qid: np.ndarray, qhome: np.ndarray, x:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     scratch = Scratch(spark, "embeddings")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     sums = F.expr("aggregate(v, cast(0 as double), (s, x) -> s + x * x)")
@@ -176,7 +175,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     for d in dimensions:
         some = rows.filter(F.col("d") == d)
-        out = out.unionByName(some.select("vec_id", "h1", "h2").join(classes(scratch, some, d, cosine, sample), ["h1", "h2"]).select("vec_id", "n_links", "component_id"))
+        with batch_rows(spark, 4096):
+            found = classes(scratch, some, d, cosine, sample)
+        out = out.unionByName(some.select("vec_id", "h1", "h2").join(found, ["h1", "h2"]).select("vec_id", "n_links", "component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components, free_names, small_batches, table, text_of
+from .common import Scratch, batch_rows, components, free_names, small_batches, table, text_of
 
 DISTANCE = 3
 SEED = 42
@@ -164,18 +164,19 @@ def second_level(key: str = "a", fp: str = "b"):
 def links(scratch: Scratch, distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(a, b): links among the distinct fingerprints `fp` that join all that may be joined."""
     spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 16))
     schema = "kind int, a long, b long"
     # spread first: each row becomes 64
     spread = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
     index = spread.select(F.explode(one_wildcard()).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    found = scratch.cut(index.mapInArrow(link_sorted(crowded), schema), "found")
+    with batch_rows(spark, 1 << 16):
+        found = scratch.cut(index.mapInArrow(link_sorted(crowded), schema), "found")
     out = found.filter("kind = 0").select("a", "b")
     crowd = found.filter("kind = 1")
     if not crowd.isEmpty():
         # a distance of 3 leaves 3 at most in the other segment, so one of its halves differs by one bit at most
         again = crowd.select("a", "b", F.explode(second_level()).alias("v")).select(F.xxhash64("a", "v").alias("key"), F.col("b").alias("fp")).repartition("key").sortWithinPartitions("key")
-        out = out.union(scratch.cut(again.mapInArrow(link_all, schema), "found").select("a", "b"))
+        with batch_rows(spark, 1 << 16):
+            out = out.union(scratch.cut(again.mapInArrow(link_all, schema), "found").select("a", "b"))
     return out
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, small_batches, text_of
+from .common import Scratch, batch_rows, components, small_batches, text_of
 from .simhash import SEED, best_rows, row_hash
 
 SEGMENTS, TAKEN = 8, 7
@@ -173,17 +173,17 @@ def link_sorted(crowded: int | None):
     return run
 
 
-def dealt(rows: DataFrame, crowded: int | None) -> DataFrame:
-    """link_sorted() over (key, node, signature)."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 14))
-    return rows.select("key", "node", *LONGS).repartition("key").sortWithinPartitions("key").mapInArrow(link_sorted(crowded), LINK)
+def linked(scratch: Scratch, rows: DataFrame, crowded: int | None) -> DataFrame:
+    """link_sorted() over (key, node, signature), written."""
+    with batch_rows(rows.sparkSession, 1 << 14):
+        return scratch.cut(rows.select("key", "node", *LONGS).repartition("key").sortWithinPartitions("key").mapInArrow(link_sorted(crowded), LINK), "linked")
 
 
 def links(scratch: Scratch, distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(a, b): links among the nodes of distinct signatures (node, fp) that join all that may be joined."""
     nodes = distinct.select("node", *[F.col(f"fp.{c}").alias(c) for c in LONGS])
     spread = nodes.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
-    found = scratch.cut(dealt(spread.select(F.explode(variants()).alias("key"), "node", *LONGS), crowded), "found")
+    found = linked(scratch, spread.select(F.explode(variants()).alias("key"), "node", *LONGS), crowded)
     out = found.filter("kind = 0").select("a", "b")
     crowd = found.filter("kind = 1").select("key", F.col("a").alias("node"))
     if crowd.isEmpty():
@@ -192,7 +192,7 @@ def links(scratch: Scratch, distinct: DataFrame, crowded: int = CROWDED) -> Data
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     placed = scratch.cut(crowd.join(size, "key").select("key", "node", "parts", part.alias("part")).join(nodes, "node"), "placed")
     inside = placed.select(F.xxhash64("key", "part").alias("key"), "node", *LONGS)
-    out = out.union(scratch.cut(dealt(inside, None), "inside").select("a", "b"))
+    out = out.union(linked(scratch, inside, None).select("a", "b"))
     # what is not in its key's largest class meets everything of the key: a part of the one and a part of the other at a time
     rooted = scratch.cut(placed.join(components(scratch, out), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     classes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
@@ -206,7 +206,7 @@ def links(scratch: Scratch, distinct: DataFrame, crowded: int = CROWDED) -> Data
     mine = F.pmod(F.xxhash64("node"), F.col("other_parts")).cast("int")
     others = open_.filter("root <> most").select("key", "node", *LONGS, mine.alias("other"), to("parts")).withColumnRenamed("to", "part")
     both = every.unionByName(others).select(F.xxhash64("key", "part", "other").alias("key"), "node", *LONGS).distinct()
-    return out.union(scratch.cut(dealt(both, None), "between").select("a", "b"))
+    return out.union(linked(scratch, both, None).select("a", "b"))
 
 
 def classes(scratch: Scratch, fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
