@@ -1,4 +1,4 @@
-"""Commands over run folders: list, run, score, judge, report, pairs, human-report, show."""
+"""Commands over run folders: list, run, score, judge, report, pairs, serve, human-report, show."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from .functions import lint, text, tokens
 from .operators import full_report, human, judge, pairs, render, report, store
 from .plans import pipeline, planning
 from .session import local_session
-from .sources import definitions, logs, providers
+from .sources import definitions, logs, providers, serve
 from .tables import written
 
 
@@ -161,6 +161,20 @@ class Bench:
         made = pairs.human_pairs(self.fresh, self.rows.select("id", "title", "audience"), definitions.parse_schemes(self.args.schemes), definitions.parse_count(self.args.seed, 0), limit, self.baseline())
         logs.write_snapshot(made.drop("_ord").coalesce(1), self.at["pairs"])
 
+    def vote_server(self):
+        """A server of the run's current pairs on this machine."""
+        shown = [r.asDict() for r in self.shown_pairs().collect()]  # pairs that people vote on
+        if not shown:
+            raise SystemExit(f"the run {self.args.run!r} has no current pairs; make them first")
+        per_rater = definitions.parse_count(self.args.per_rater) if self.args.per_rater is not None else None
+        votes = serve.Votes(shown, [r.asDict() for r in self.votes().select("pairId", "raterId").collect()], self.at["votes"], per_rater)
+        return serve.server(votes, definitions.parse_count(self.args.port, 0))
+
+    def serve(self) -> None:
+        at = self.vote_server()
+        print(f"http://localhost:{at.server_port}/", file=sys.stderr)
+        at.serve_forever()
+
     def human_report(self) -> None:
         if not logs.exists(self.spark, self.at["pairs"]):
             raise SystemExit(f"the run {self.args.run!r} has no pairs; make them first")
@@ -189,7 +203,7 @@ def load(folder: str):
     return definitions.load_sources(tasks, corpus), models, definitions.load_interventions(f"{folder}/interventions", models["models"])
 
 
-COMMANDS = ["list", "run", "score", "judge", "report", "pairs", "human-report", "show"]
+COMMANDS = ["list", "run", "score", "judge", "report", "pairs", "serve", "human-report", "show"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -197,10 +211,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("command", choices=COMMANDS)
     p.add_argument("--dir", default=".")
     p.add_argument("--run", default="default")
-    for name in ("--tasks", "--models", "--interventions", "--schemes", "--sample", "--judge", "--limit", "--concurrency"):
+    for name in ("--tasks", "--models", "--interventions", "--schemes", "--sample", "--judge", "--limit", "--concurrency", "--per-rater"):
         p.add_argument(name)
     p.add_argument("--corpus", nargs="?", const="", help="run over given texts, all or some, in place of tasks")
-    p.add_argument("--samples", default="1"), p.add_argument("--seed", default="42"), p.add_argument("--baseline", default="baseline")
+    p.add_argument("--samples", default="1"), p.add_argument("--seed", default="42"), p.add_argument("--baseline", default="baseline"), p.add_argument("--port", default="3000")
     p.add_argument("--mode", choices=["rubric", "pairwise", "both"], default="both")
     p.add_argument("--force", action="store_true"), p.add_argument("--no-cache", action="store_true")
     return p

@@ -9,13 +9,15 @@ from ..functions.compat import random_draw, ratio, rater_seed, round_half_up
 from .report import majority_votes
 
 BODY_LIMIT = 16 * 1024
+RATER_LIMIT, COMMENT_LIMIT = 64, 2000
 CHOICES = ("A", "B", "tie")
 
 
-def valid_vote() -> Column:
-    """Whether a vote's fields are as they must be."""
+def valid_vote(comments: bool = False) -> Column:
+    """Whether a vote's fields are as they must be. comments: votes have a column of them."""
     named = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
-    return named("pairId") & named("raterId") & F.coalesce(F.col("choice").isin(*CHOICES), F.lit(False)) & F.col("leftWasA").isNotNull() & F.coalesce(F.col("seconds") >= 0, F.lit(True))
+    short = F.coalesce(F.length("comment") <= COMMENT_LIMIT, F.lit(True)) if comments else F.lit(True)
+    return named("pairId") & named("raterId") & (F.length("raterId") <= RATER_LIMIT) & short & F.coalesce(F.col("choice").isin(*CHOICES), F.lit(False)) & F.col("leftWasA").isNotNull() & F.coalesce(F.col("seconds") >= 0, F.lit(True))
 
 
 def intake(votes: DataFrame, pairs: DataFrame, quota: int | None = None, seq: str = "_seq") -> DataFrame:
@@ -27,7 +29,7 @@ def intake(votes: DataFrame, pairs: DataFrame, quota: int | None = None, seq: st
     known = pairs.select(F.col("id").alias("pairId")).distinct().withColumn("_known", F.lit(True))
     marked = votes.join(known, "pairId", "left")
     size = F.col("bytes") if "bytes" in votes.columns else F.lit(0)
-    early = F.when(size > BODY_LIMIT, 413).when(~valid_vote(), 400).when(F.col("_known").isNull(), 404)
+    early = F.when(size > BODY_LIMIT, 413).when(~valid_vote("comment" in votes.columns), 400).when(F.col("_known").isNull(), 404)
     marked = marked.withColumn("_early", early)
     possible = F.col("_early").isNull()
     nth = F.row_number().over(Window.partitionBy("raterId", "pairId", possible).orderBy(seq))

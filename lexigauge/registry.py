@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import compat, lint, text, tokens
 from .operators import human, judge, pairs, report, store
 from .plans import pipeline, planning
+from .session import spread
 from .sources import logs
 from .tables import shared_folder
 
@@ -558,7 +559,7 @@ UNITS = r"(length(@) + length(regexp_replace(@, '[^\x{10000}-\x{10FFFF}]', '', '
 
 
 def texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"))
     return docs.union(spark.createDataFrame([(f"j{i}", t) for i, t in JAPANESE], "id string, text string"))
 
 
@@ -610,7 +611,7 @@ MD = "md AS (SELECT doc_id, '## ' || source || chr(10) || chr(10) || '- ' || lan
 
 
 def markdown(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr("concat('## ', source, '\n\n- ', lang, '\n> **', lang, '** | x\n\ntitle\n=====\n', text)").alias("t"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.expr("concat('## ', source, '\n\n- ', lang, '\n> **', lang, '** | x\n\ntitle\n=====\n', text)").alias("t"))
 
 
 @query("strip_markdown_basic", f"WITH {MD} SELECT doc_id, {STRIPPED} AS plain FROM (SELECT doc_id, t AS text FROM md)")

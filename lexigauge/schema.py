@@ -21,7 +21,6 @@ NO_MODEL = "none"
 METRICS_VERSION, PIPELINE_VERSION, RUBRIC_VERSION, PAIRWISE_VERSION = "metrics-v2", "pipeline-v1", "rubric-v2", "pairwise-v2"
 SCHEMES = ("interventions", "models")
 LOWER = ("textlintPer1k", "textlintCount", "meanSentenceLength", "maxSentenceLength", "longSentenceRatio", "veryLongSentenceRatio", "tenPerSentence", "manyTenRatio", "maxKanjiRun", "kanjiRatio", "kangoRatio", "rareruPerSentence", "nominalizationPer1k")
-HIGHER = ("jreadability", "judgeOverall", "judgeReadability", "judgeClarity", "judgeNaturalness", "judgeConcision", "judgeStructure")
 HEADLINE = ("textlintPer1k", "meanSentenceLength", "longSentenceRatio", "tenPerSentence", "kanjiRatio", "jreadability")
 RUBRIC_KEYS = ("readability", "clarity", "naturalness", "concision", "structure", "overall")
 

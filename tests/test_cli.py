@@ -2,6 +2,8 @@
 
 import json
 import threading
+import urllib.error
+import urllib.request
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -104,6 +106,41 @@ def test_commands(spark, folder, capsys):
     assert "t__none__baseline__0" in {r["id"] for r in read("samples", cli.schema.SAMPLES)}
 
 
+def request(url, body=None):
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, body)) as r:
+            return r.status, r.read().decode()
+    except urllib.error.HTTPError as e:
+        return e.code, e.read().decode()
+
+
+def test_votes_over_http(spark, folder):
+    """The page's server deals pairs, takes a vote once, keeps a quota, and refuses what is no vote; votes are in the log."""
+    at = folder / "results/runs/r/votes.jsonl"
+    at.unlink(missing_ok=True)
+    args = cli.parser().parse_args(["serve", "--dir", str(folder), "--run", "r", "--port", "0", "--per-rater", "2"])
+    server = cli.Bench(args, spark).vote_server()
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    vote = lambda **v: request(f"{base}/api/vote", json.dumps({"choice": "A", "leftWasA": True, "raterId": "r"} | v).encode())[0]
+    status, page = request(base + "/")
+    assert status == 200 and "どちらが" in page and request(base + "/other")[0] == 404
+    dealt = json.loads(request(base + "/api/pairs?rater=r")[1])
+    ids = [p["id"] for p in dealt["pairs"]]
+    assert dealt["total"] == dealt["remaining"] == 6 and len(ids) == 2
+    assert vote(pairId=ids[0], seconds=1.5, comment="ok") == 200 and vote(pairId=ids[0]) == 409
+    assert [vote(pairId="none"), vote(pairId=ids[1], choice="C"), vote(pairId=ids[1], raterId="x" * 65), vote(pairId=ids[1], comment="x" * 2001), vote(pairId=ids[1], seconds=-1)] == [404, 400, 400, 400, 400]
+    assert request(f"{base}/api/vote", b"x" * 20_000)[0] == 413 and request(f"{base}/api/vote", b"{")[0] == 500
+    again = json.loads(request(base + "/api/pairs?rater=r")[1])
+    assert again["remaining"] == 5 and len(again["pairs"]) == 1
+    other = json.loads(request(base + "/api/pairs?rater=s")[1])["pairs"]
+    assert ids[0] not in [p["id"] for p in other]  # what has a vote comes last
+    assert vote(pairId=ids[1]) == 200 and vote(pairId=next(p["id"] for p in other if p["id"] not in ids)) == 403
+    assert json.loads(request(base + "/api/stats")[1]) == {"pairs": 6, "votes": 2, "raters": 1}
+    server.shutdown()
+    assert sorted(r["pairId"] for r in logs.read_log(spark, str(at), cli.schema.VOTES).collect()) == sorted(ids)
+
+
 def test_changed_rules_make_scores_stale(spark, monkeypatch):
     before = cli.scoring_hash()
     monkeypatch.setitem(lint.RULES, "max-ten", ("more than four commas", lint.RULES["max-ten"][1], False))

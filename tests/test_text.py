@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigauge.functions import compat, lint, text, tokens
+from lexigauge.session import spread
 
 
 def value(spark, column, **inputs):
@@ -104,6 +105,25 @@ def test_lint(spark):
     assert fixed["text"] == "設定する。" and fixed["applied"] == 1 and fixed["remaining"] == 0
 
 
+def test_tokenizer_plug_in(spark):
+    """An analyser in Python, in Arrow batches, feeds the same metrics."""
+    import pandas as pd
+
+    words = {"走ら": ("走る", "動詞", "自立"), "れる": ("れる", "動詞", "接尾"), "馬": ("馬", "名詞", "一般"), "は": ("は", "助詞", "係助詞"), "。": ("。", "記号", "句点")}
+
+    @F.pandas_udf("array<struct<surface_form:string,basic_form:string,pos:string,pos_detail_1:string>>")
+    def analyse(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("surface_form", "basic_form", "pos", "pos_detail_1"), (w, *words[w]))) for w in t.split()])
+
+    rows = tokens.token_rows(spark.createDataFrame([(1, "馬 は 走ら れる 。")], "sampleId int, plain string"), analyse)
+    got = tokens.token_metrics(rows, spark.createDataFrame([(1, 1, 6.0)], "sampleId int, sentences int, meanSentenceLength double")).first()
+    assert (got["tokens"], got["verbRatio"], got["particleRatio"], got["rareruPerSentence"], got["typeTokenRatio"]) == (4, 0.5, 0.25, 1.0, 1.0)
+
+
+def test_spread(spark):
+    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8 and spread(spark.range(100, numPartitions=20)).rdd.getNumPartitions() == 20
+
+
 def test_tokenizer(spark):
     rows = tokens.token_rows(spark.createDataFrame([(1, "東京は雨です。")], "sampleId int, plain string")).orderBy("ord").collect()
     assert [r["surface_form"] for r in rows] == ["東京", "は", "雨", "です", "。"]
