@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import compat, lint, text, tokens
-from .operators import full_report, human, judge, pairs, render, report, store
+from .operators import full_report, human, judge, pairs, render, report
 from .plans import pipeline, planning
 from .registry import cases, folder, query, table
 from .schema import RUBRIC_KEYS, SAMPLES, check_id, check_run_id
@@ -269,12 +269,12 @@ def given_spent(n: str) -> Column:
     return F.when(F.col("event_id") % 3 != 0, F.struct(F.lit(n).alias("servedBy"), number("event_id").alias("inputTokens"), F.when(F.col("event_id") % 7 != 0, F.col("user_id")).cast("bigint").alias("outputTokens"), F.lit(1).cast("bigint").alias("ms"))).cast(pipeline.SPENT)
 
 
-@query("usage_sums", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 2 * event_id ELSE -1 END AS inputTokens, CASE WHEN event_id % 7 <> 0 THEN user_id ELSE -1 END AS outputTokens FROM events WHERE event_id % 3 <> 0")
+@query("usage_sums", "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 THEN 2 * event_id ELSE -1 END AS inputTokens, CASE WHEN event_id % 3 <> 0 AND event_id % 7 <> 0 THEN user_id ELSE -1 END AS outputTokens FROM events")
 def usage_sums(spark, sf_dir):
     """What two passes took together, where tokens are known of one, of both or of none (-1 here)."""
     one = given_spent("a")
     other = F.struct(F.lit("b").alias("servedBy"), one["inputTokens"].alias("inputTokens"), F.lit(None).cast("bigint").alias("outputTokens"), F.lit(2).cast("bigint").alias("ms")).cast(pipeline.SPENT)
-    rows = table(spark, sf_dir, "events").filter("event_id % 3 <> 0").select("event_id", pipeline.both_spent(one, other).alias("u"))
+    rows = table(spark, sf_dir, "events").select("event_id", pipeline.both_spent(one, other).alias("u"))
     return rows.select("event_id", *[F.coalesce(f"u.{n}", F.lit(-1)).alias(n) for n in ("inputTokens", "outputTokens")])
 
 
@@ -332,11 +332,11 @@ def pair_currency(spark, sf_dir):
     return pairs.current_pairs(shown, side("a", "x").union(side("b", "y")), sources).select("id")
 
 
-@query("votes_on_pairs", "SELECT count(*) AS votes FROM events WHERE user_id % 4 = 1")
+@query("votes_on_pairs", "SELECT count(*) AS votes FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def votes_on_pairs(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    shown = events.filter("user_id % 4 = 1").select(F.concat(F.lit("p"), "user_id").alias("id")).distinct()
-    return human.on_pairs(events.select(F.concat(F.lit("p"), "user_id").alias("pairId")), shown).agg(F.count("*").alias("votes"))
+    """Events are votes on their user's pair; the pairs of users with a purchase are current."""
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), "user_id").alias("pairId"), "event_type")
+    return human.on_pairs(events, events.filter("event_type = 'purchase'").select(F.col("pairId").alias("id")).distinct()).agg(F.count("*").alias("votes"))
 
 
 @query("baseline_fallback", "SELECT 'r' || r_regionkey AS a, CASE WHEN r_regionkey % 2 = 0 THEN 'own' ELSE 'bare' END || r_regionkey AS b FROM region")
@@ -380,9 +380,3 @@ def level_barrier(spark, sf_dir):
     plan = planning.plan_jobs(sources.select(F.col("id").alias("sourceId"), "sourceType"), [BASE, FIX, REWRITE], ["m"], ALL, none.select("id"), none.select("id"))
     made = pipeline.run(plan, sources, none, [BASE, FIX, REWRITE], [MOCK])
     return made.select("id", F.regexp_replace("error", "^nothing of (.*) to take over$", "$1 failed").alias("error"))
-
-
-@query("store_budget", "SELECT 'e' || event_id AS id FROM events WHERE event_id % 3 = 0 ORDER BY event_id LIMIT 7")
-def store_budget(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.concat(F.lit("e"), "event_id").alias("id"), "event_id")
-    return store.budget(rows, ["event_id"], 7).select("id")

@@ -510,12 +510,12 @@ def unique_ids(spark, sf_dir):
     return duplicate_ids(table(spark, sf_dir, "nation"), "n_regionkey")
 
 
-@query("fk_violations", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL AND s_suppkey <= 9)")
+@query("fk_violations", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL AND s_acctbal < 0)")
 def fk_violations(spark, sf_dir):
-    """Customers of nations that the first nine suppliers are not of."""
+    """Customers of nations without a supplier in debt."""
     from .sources.definitions import missing_references
 
-    return missing_references(table(spark, sf_dir, "customer"), "c_nationkey", table(spark, sf_dir, "supplier").filter("s_suppkey <= 9").select("s_nationkey").distinct(), "s_nationkey").select("c_custkey")
+    return missing_references(table(spark, sf_dir, "customer"), "c_nationkey", table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_nationkey").distinct(), "s_nationkey").select("c_custkey")
 
 
 # --- texts
