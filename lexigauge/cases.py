@@ -350,7 +350,7 @@ def baseline_fallback(spark, sf_dir):
 
 @query(
     "whole_report",
-    """SELECT * FROM (VALUES ('fix textlintPer1k', 35.7), ('m1 fix textlintPer1k', 50.0), ('m1 fix meanSentenceLength', 25.0), ('m1 fix judgeOverall', 100.0), ('fix judge rate', 0.75), ('m1 fix human rate', 1.0), ('m1 judge rate', 0.0), ('m2 judge rate', 1.0),
+    """SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('fix textlintPer1k', 35.7), ('m1 fix textlintPer1k', 50.0), ('m1 fix meanSentenceLength', 25.0), ('m1 fix judgeOverall', 100.0), ('fix judge rate', 0.75), ('m1 fix human rate', 1.0), ('m1 judge rate', 0.0), ('m2 judge rate', 1.0),
     ('agreement', 1.0), ('votes', 3.0), ('rule x/a baseline', 2.0), ('rule x/a fix', 1.0)) v(name, value)""",
 )
 def whole_report(spark, sf_dir):
