@@ -136,9 +136,29 @@ facts(
         (lambda: lint.packages_of('{"rules": {"preset-a": {}, "b": false, "@s/c": true}, "filters": {"d": true}}'), '["@s/textlint-rule-c", "textlint", "textlint-filter-rule-d", "textlint-rule-preset-a"]'),
     ],
 )
+
+
+class Shouting:
+    """A provider of one's own."""
+
+    def __init__(self, config: dict):
+        self.mark = config.get("model", "!")
+
+    def generate(self, system: str, prompt: str) -> providers.Answer:
+        if prompt == "refuse":
+            raise RuntimeError("refused")
+        return providers.Answer(prompt.upper() + self.mark, "shouting", len(prompt), 1)
+
+
+def shouting() -> object:
+    providers.register("shouting", Shouting)
+    return providers.provider_for({"provider": "shouting", "model": "?"}).generate("", "hey").text
+
+
 facts(
     "provider_registry",
     [
+        (shouting, "HEY?"),
         (lambda: type(providers.provider_for(MOCK)).__name__, "MockProvider"),
         (lambda: providers.provider_for(MOCK) is providers.provider_for(dict(MOCK)), "true"),
         (lambda: str(providers.provider_for({"provider": "nobody"})), "ValueError"),
@@ -380,3 +400,33 @@ def level_barrier(spark, sf_dir):
     plan = planning.plan_jobs(sources.select(F.col("id").alias("sourceId"), "sourceType"), [BASE, FIX, REWRITE], ["m"], ALL, none.select("id"), none.select("id"))
     made = pipeline.run(plan, sources, none, [BASE, FIX, REWRITE], [MOCK])
     return made.select("id", F.regexp_replace("error", "^nothing of (.*) to take over$", "$1 failed").alias("error"))
+
+
+@query("locale_order", "SELECT * FROM (VALUES ('alpha', 0), ('Alpha', 1), ('beta', 2), ('Beta', 3), ('éclair', 4), ('zebra', 5)) v(name, place)")
+def locale_order(spark, sf_dir):
+    """Names as reports list them: letters before case, accents with their letters; not the order of their bytes."""
+    return spark.createDataFrame(list(report.ranks(spark, ["zebra", "Beta", "alpha", "éclair", "beta", "Alpha"]).items()), "name string, place int")
+
+
+@query("timestamp_format", "SELECT r_regionkey, true AS fits FROM region")
+def timestamp_format(spark, sf_dir):
+    return table(spark, sf_dir, "region").select("r_regionkey", F.regexp_like(judge.created(), F.lit(r"^2\d{3}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z$")).alias("fits"))
+
+
+def said_aloud(_: providers.Provider, system: str, request: str) -> providers.Answer:
+    return Shouting({"model": "!"}).generate(system, request)
+
+
+@query(
+    "provider_calls",
+    """SELECT n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'given' WHEN n_nationkey % 5 = 1 THEN 'given' ELSE upper(n_name) || '!' END AS text, CASE WHEN n_nationkey % 5 = 0 THEN 'before' WHEN n_nationkey % 5 = 1 THEN 'refused' END AS error,
+    CASE WHEN n_nationkey % 5 > 1 THEN length(n_name) ELSE -1 END AS inputTokens FROM nation""",
+)
+def provider_calls(spark, sf_dir):
+    """Rows that failed before are not asked about; what a provider raises is the row's error; at most three calls run at once."""
+    k = F.col("n_nationkey") % 5
+    jobs = table(spark, sf_dir, "nation").select("n_name", F.lit("given").alias("text"), F.when(k == 0, "before").alias("error"), F.lit("").alias("system"), F.when(k == 1, "refuse").otherwise(F.col("n_name")).alias("request"), F.lit("m").alias("callModel"), F.lit(None).cast(pipeline.SPENT).alias("spent"))
+    made = pipeline.called(jobs, said_aloud, {"m": MOCK}, 3)
+    if made.rdd.getNumPartitions() > 3:
+        raise RuntimeError("more calls at once than asked for")
+    return made.select("n_name", "text", "error", F.coalesce("spent.inputTokens", F.lit(-1)).alias("inputTokens"))
