@@ -191,7 +191,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = 2000) -> DataFrame:
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = 500) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, same_before, same_at_begin, same_at_end) for every row.
 
     Rows follow one another by descending id, null ids last, rows of one id by descending hash of their text; after the
