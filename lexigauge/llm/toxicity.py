@@ -36,8 +36,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 8, 8, 8
 #: Share of words that a training step shows by their characters alone, and of windows of one repeated word.
 DROPPED, REPEATED = 0.25, 0.05
 THRESHOLD = 0.5
-#: Distinct words whose inputs a worker keeps, and words and windows scored at once.
-KEPT_WORDS, WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 100_000, 2048
+#: Distinct words whose inputs a worker keeps; words and windows scored at once; words whose characters are looked up at once.
+KEPT_WORDS, WORDS_AT_ONCE, WINDOWS_AT_ONCE, WORDS_SPELLED = 200_000, 100_000, 2048, 10_000
 
 Array = np.ndarray
 
@@ -222,8 +222,10 @@ def fit(texts: Iterable[list[str]], y: Array, rounds: int = 9, rate: float = 0.0
     net = Network(words, log_odds(np.array([seen[1][w] for w in words]), np.array([seen[0][w] for w in words]), n1, n0), log_odds(gram_seen[1], gram_seen[0], n1, n0))
     vocabulary = list(index) or [""]
     number = np.array([net.number.get(w, 0) for w in vocabulary])
-    gram, size = grams_of(vocabulary)
-    gram_of = np.repeat(np.arange(len(vocabulary)), size)
+    parts = [grams_of(vocabulary[a : a + WORDS_SPELLED]) for a in range(0, len(vocabulary), WORDS_SPELLED)]
+    gram, size = np.concatenate([p[0].astype(np.int32) for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
+    gram_of = np.repeat(np.arange(len(vocabulary), dtype=np.int32), size)
     gram_at = np.concatenate(([0], np.cumsum(size)[:-1]))
     ids = np.concatenate(windows)
     owner = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
@@ -231,8 +233,12 @@ def fit(texts: Iterable[list[str]], y: Array, rounds: int = 9, rate: float = 0.0
     at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
 
     def inputs() -> Array:
-        chars = np.add.reduceat(net.p["C"][gram], gram_at, axis=0) / size[:, None]
-        return np.concatenate([net.p["E"][number], chars], axis=1).astype(np.float32)
+        out = np.empty((len(vocabulary), WORD_DIM + CHAR_DIM), np.float32)
+        out[:, :WORD_DIM] = net.p["E"][number]
+        for a in range(0, len(vocabulary), WORDS_SPELLED):
+            at, n = gram_at[a : a + WORDS_SPELLED], size[a : a + WORDS_SPELLED]
+            out[a : a + WORDS_SPELLED, WORD_DIM:] = np.add.reduceat(net.p["C"][gram[at[0] : at[-1] + n[-1]]], at - at[0], axis=0) / n[:, None]
+        return out
 
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
@@ -326,8 +332,8 @@ class Scorer:
         if self.used > KEPT_WORDS:
             self.rows, self.used = {}, 0
         fresh = list({w for _, words in parts for w in words if w not in self.rows}) or ([""] if self.used == 0 else [])
-        if fresh:
-            self.learn(fresh)
+        for a in range(0, len(fresh), WORDS_SPELLED):
+            self.learn(fresh[a : a + WORDS_SPELLED])
         rows = self.rows
         flat = np.array([rows[w] for _, words in parts for w in words] or [0], np.int64)
         begin, end, owner, at = [], [], [], 0
