@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, batch_rows, components
 
@@ -42,6 +43,7 @@ SLACK = 1e-5  # of bounds, for rounding
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -164,9 +166,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    sums = F.expr("aggregate(v, cast(0 as double), (s, x) -> s + x * x)")
-    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    given = F.col(f"`{vector_col}`")
+    # single-precision vectors are moved as they are, and computed with in double precision
+    single = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), (given if single else given.cast("array<double>")).alias("v"))
+    sums = F.expr("aggregate(v, cast(0 as double), (s, x) -> s + cast(x as double) * cast(x as double))")
+    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.expr("forall(v, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))")
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
     rows = rows.withColumn("ok", F.col("ok") & F.coalesce(F.when(F.col("ok"), sums) > 0, F.lit(False))).withColumn("v", F.when(F.col("ok"), F.col("v")))
     # two hashes stand for a vector where rows and vectors meet
@@ -209,7 +214,8 @@ def classes(scratch: Scratch, rows: DataFrame, dimension: int, cosine: float, sa
                 names=["key", "v", "copies", "home", "off", "codes", "error"],
             )
 
-    coded = scratch.cut(distinct.select("key", "v", "copies").mapInArrow(assign, "key long, v array<double>, copies long, home int, off double, codes binary, error double"), "coded")
+    kind = distinct.schema["v"].dataType.simpleString()
+    coded = scratch.cut(distinct.select("key", "v", "copies").mapInArrow(assign, f"key long, v {kind}, copies long, home int, off double, codes binary, error double"), "coded")
     size, radius = np.zeros(len(index.centres), np.int64), np.zeros(len(index.centres))
     for r in coded.groupBy("home").agg(F.count("*").alias("n"), F.max("off").alias("off")).collect():  # a row for each list
         size[r["home"]], radius[r["home"]] = r["n"], r["off"]
