@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Short rows that one file of a written table has at least, where their number is known.
+ROWS_A_FILE = 100_000
 #: Rows per Arrow batch for columns of whole texts; a batch of long texts stays within a worker's memory.
 TEXT_ROWS = 256
 
@@ -45,9 +47,11 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{label}-{self.n}"
 
-    def cut(self, df: DataFrame, label: str = "t") -> DataFrame:
-        """Writes df and reads it back."""
+    def cut(self, df: DataFrame, label: str = "t", rows: int | None = None) -> DataFrame:
+        """Writes df and reads it back. rows: how many short rows it has at most, if that is known: few rows come in few files."""
         path = self.path(label)
+        if rows is not None and (files := 1 + rows // ROWS_A_FILE) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
         # numbers are written plainly: the stronger codec's buffers lie outside the heap, for each column and task
         plain = all(isinstance(f.dataType, T.NumericType | T.BooleanType) for f in df.schema)
         df.write.option("compression", "snappy" if plain else "zstd").parquet(path)
@@ -144,21 +148,23 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     pairs = lambda a, b: edges_of.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
     edges_of = edges
     left = scratch.cut(pairs("a", "b"), "edges")
+    nodes = None
     roots: DataFrame | None = None
     for n in range(10_000):
-        if left.isEmpty():
+        if not (size := left.count()):
             break
         both = left.union(left.select("b", "a"))
         rank = lambda c, n=n: F.struct(F.xxhash64(F.lit(n), c).alias("h"), F.col(c).alias("n"))
         to = both.groupBy("a").agg(F.least(F.min(rank("b")), F.first(rank("a"))).alias("m")).select(F.col("a").alias("node"), F.col("m.n").alias("root"))
-        to = scratch.cut(to, "merge")
+        to = scratch.cut(to, "merge", 2 * size)
+        nodes = 2 * size if nodes is None else nodes
         edges_of = left.join(to.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        less = scratch.cut(pairs("ra", "rb"), "edges")
+        less = scratch.cut(pairs("ra", "rb"), "edges", size)
         if roots is None:
             merged = to
         else:
             step = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            merged = scratch.cut(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            merged = scratch.cut(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots", nodes)
             scratch.drop(roots, to)
         scratch.drop(left)
         roots, left = merged, less

@@ -206,10 +206,11 @@ def link_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(scratch: Scratch, fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(fp, root, component_id) for every distinct fingerprint: a fingerprint that stands for its component, and the component's smallest id."""
     distinct = scratch.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    n = distinct.count()
     root = components(scratch, links(scratch, distinct.select("fp"), crowded))
-    rooted = scratch.cut(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    return scratch.cut(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    rooted = scratch.cut(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted", n)
+    least = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least", n)
+    return scratch.cut(rooted.join(least, "root").select("fp", "root", "component_id"), "classes", n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, crowded: int = CROWDED) -> DataFrame:

@@ -36,7 +36,8 @@ SEGMENTS, TAKEN = 8, 7
 WIPED = 8
 DISTANCE = 48
 WORDS = 5
-CROWDED = 1 << 16
+#: Entries of a variant that are searched at once; rows of a batch, which is never more than that.
+CROWDED, BATCH = 1 << 16, 1 << 14
 
 _OF_SEGMENT = np.arange(1, SEGMENTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(61)
@@ -175,7 +176,7 @@ def link_sorted(crowded: int | None):
 
 def linked(scratch: Scratch, rows: DataFrame, crowded: int | None) -> DataFrame:
     """link_sorted() over (key, node, signature), written."""
-    with batch_rows(rows.sparkSession, 1 << 14):
+    with batch_rows(rows.sparkSession, BATCH):
         return scratch.cut(rows.select("key", "node", *LONGS).repartition("key").sortWithinPartitions("key").mapInArrow(link_sorted(crowded), LINK), "linked")
 
 
@@ -213,10 +214,11 @@ def classes(scratch: Scratch, fps: DataFrame, crowded: int = CROWDED) -> DataFra
     """(fp, root, component_id) for every distinct signature: a number that stands for its component, and the component's smallest id."""
     # the numbers are given as the table is written, and stay
     distinct = scratch.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    n = distinct.count()
     root = components(scratch, links(scratch, distinct.select("node", "fp"), crowded))
-    rooted = scratch.cut(distinct.join(root, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    least = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    return scratch.cut(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    rooted = scratch.cut(distinct.join(root, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted", n)
+    least = scratch.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least", n)
+    return scratch.cut(rooted.join(least, "root").select("fp", "root", "component_id"), "classes", n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, crowded: int = CROWDED) -> DataFrame:

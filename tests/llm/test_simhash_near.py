@@ -38,14 +38,19 @@ def documents(g):
     return [*texts, "", None, "one two", "ONE  two", "a b c d e", "very long " * 20_000, "very long " * 20_000 + "end", texts[0]]
 
 
-@pytest.mark.parametrize("crowded", [simhash_near.CROWDED, 8])
-def test_against_all_pairs(spark, crowded):
-    """With whole groups, and with groups searched in parts."""
+@pytest.mark.parametrize("crowded, batch", [(simhash_near.CROWDED, simhash_near.BATCH), (simhash_near.CROWDED, 3), (8, 3), (4, 2)])
+def test_against_all_pairs(spark, monkeypatch, crowded, batch):
+    """With whole groups, and with groups that come in many batches and are searched in parts."""
+    monkeypatch.setattr(simhash_near, "BATCH", batch)
+    searched = []
+    linked_ = simhash_near.linked
+    monkeypatch.setattr(simhash_near, "linked", lambda *a: searched.append(a[2]) or linked_(*a))
     texts = documents(random.Random(9))
     label = brute(texts)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, fp string, _own0 string")
     got = {r["doc_id"]: r["component_id"] for r in simhash_near.near_duplicates(df, crowded=crowded).collect()}
     assert got == dict(enumerate(label))
+    assert (len(searched) > 1) == (crowded < 10)  # parts are searched where groups are too large
     assert len(set(label)) < len(label) - 60
     kept = simhash_near.keep_one(df, crowded=crowded)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
