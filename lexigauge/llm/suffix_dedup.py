@@ -224,19 +224,20 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
                 )
 
     rows = scratch.cut(texts.select("tk", "copies", "text").mapInArrow(cut_pieces, "tk binary, copies long, gram long, body long, start int, number int"), "pieces")
+    most = rows.count()
     # how often each kind of piece comes, and whether its gram has others; grams that come once need no look
     each = rows.groupBy("gram", "body").agg(F.sum("copies").alias("n"))
     grams = each.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
     # written first: then the join deals both sides anew, and a kind that a third of the pieces are can be split
-    known = scratch.cut(each.join(grams, "gram").select("gram", "body", "n", (F.col("kinds") > 1).alias("mixed")), "known")
-    looked_at = scratch.cut(rows.join(known, ["gram", "body"]), "looked_at")
+    known = scratch.cut(each.join(grams, "gram").select("gram", "body", "n", (F.col("kinds") > 1).alias("mixed")), "known", most)
+    looked_at = scratch.cut(rows.join(known, ["gram", "body"]), "looked_at", most)
     scratch.drop(rows, known)
     # pieces with equal bytes are one, and known as repeated by now; where all pieces of a gram are alike there is nothing to sort
     alike, single = looked_at.filter("n > 1"), looked_at.filter("mixed and n = 1")
     place = F.struct("tk", "start", "number")
     kinds = alike.filter("mixed").groupBy("gram", "body").agg(F.first("n").alias("n"), F.min(place).alias("one"))
-    kinds = scratch.cut(kinds.unionByName(single.select("gram", "body", "n", place.alias("one"))), "kinds")
-    hot = scratch.cut(kinds.groupBy("gram").agg(F.count("*").alias("many")).filter(F.col("many") > crowded), "crowded")
+    kinds = scratch.cut(kinds.unionByName(single.select("gram", "body", "n", place.alias("one"))), "kinds", most)
+    hot = scratch.cut(kinds.groupBy("gram").agg(F.count("*").alias("many")).filter(F.col("many") > crowded), "crowded", most)
     still = hot.agg(F.sum("many")).first()[0] or 0
     if not still or level >= LEVELS and 2 * still > before:
         hot = None
@@ -304,7 +305,7 @@ def repeated_spans(scratch: Scratch, texts: DataFrame, length: int = LENGTH, sha
     # only pieces that come once need what the sorting found in them
     found = single.join(verdict, ["gram", "body"]).select("tk", F.explode("found").alias("f"), "start").select("tk", F.struct((F.col("start") + F.col("f.a")).alias("a"), (F.col("start") + F.col("f.b")).alias("b")).alias("s"))
     spans = alike.select("tk", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("number") + length - 1).alias("b")).alias("s")).unionByName(found)
-    out = scratch.cut(spans.groupBy("tk").agg(F.collect_list("s").alias("spans")), "spans")
+    out = scratch.cut(spans.groupBy("tk").agg(F.collect_list("s").alias("spans")), "spans", most)
     scratch.drop(looked_at, kinds, told, verdict)
     return out
 

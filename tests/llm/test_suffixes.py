@@ -150,8 +150,8 @@ def test_common_passage_in_differing_surroundings(spark, monkeypatch):
     sizes = []
     cut = suffix_dedup.Scratch.cut
 
-    def watched(self, df, label="t"):
-        out = cut(self, df, label)
+    def watched(self, df, label="t", *rows):
+        out = cut(self, df, label, *rows)
         if label == "crowded":
             sizes.append(sum(r["count"] for r in out.groupBy().count().collect()))
         return out
